@@ -1 +1 @@
-"""Formulas as Column expressions and DataFrame stages; no operator here shuffles."""
+"""Formulas as Spark SQL expressions, applied by DataFrame stages; nothing here shuffles."""

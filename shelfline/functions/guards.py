@@ -1,52 +1,83 @@
-"""Null-safe arithmetic.  NULL means "unavailable" and must survive every clamp."""
+"""Building blocks for SQL expressions in which NULL means "unavailable" and stays so."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+UNKNOWN = "cast(null as double)"
 
-def ratio(numerator: Column, denominator: Column) -> Column:
+
+def number(value: float) -> str:
+    """A double literal; a bare decimal point would make it a DECIMAL."""
+    return f"{float(value)!r}D"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ratio(numerator: str, denominator: str) -> str:
     """numerator / denominator where the denominator is positive, else NULL."""
-    return F.when(denominator > 0, numerator / denominator)
+    return f"case when {denominator} > 0 then ({numerator}) / {denominator} end"
 
 
-def at_least_zero(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
+def at_least_zero(value: str) -> str:
+    return f"if({value} < 0, 0D, {value})"
 
 
-def at_most_100(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.least(value, F.lit(100.0)))
+def at_most_100(value: str) -> str:
+    return f"if({value} > 100, 100D, {value})"
 
 
-def holds(condition: Column) -> Column:
+def holds(condition: str) -> str:
     """A condition with "unknown" read as false."""
-    return F.coalesce(condition, F.lit(False))
+    return f"coalesce({condition}, false)"
 
 
-def texts(pairs: Iterable[tuple[Column, Column]]) -> Column:
+def texts(pairs: Iterable[tuple[str, str]]) -> str:
     """array<string> of the texts whose condition holds, in the order given.
 
     Built by concatenation because array filters with lambdas leave whole-stage codegen.
     """
-    none = F.array().cast("array<string>")
-    return F.concat(*[F.when(condition, F.array(text)).otherwise(none) for condition, text in pairs])
+    none = "cast(array() as array<string>)"
+    return "concat(" + ", ".join(f"if({c}, array({text}), {none})" for c, text in pairs) + ")"
 
 
-def band(score: Column, low_max: float, medium_max: float, names: tuple[str, str, str]) -> Column:
+def band(score: str, low_max: float, medium_max: float, names: tuple[str, str, str]) -> str:
     """Three-way label of a 0-100 score; NULL stays NULL."""
-    low, medium, high = names
-    return (F.when(score <= low_max, low)
-            .when(score <= medium_max, medium)
-            .when(score.isNotNull(), high))
+    low, medium, high = map(quoted, names)
+    return (f"case when {score} <= {number(low_max)} then {low} "
+            f"when {score} <= {number(medium_max)} then {medium} "
+            f"when {score} is not null then {high} end")
 
 
-def decimals(value: Column, places: int) -> Column:
+def decimals(value: str, places: int) -> str:
     """Text with a fixed number of decimals, halves to even."""
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    return f"format_string('%.{places}f', bround({value}, {places}))"
+
 
+def percent(value: str) -> str:
+    return f"concat({decimals(f'{value} * 100', 1)}, '%')"
 
-def percent(value: Column) -> Column:
-    return F.concat(decimals(value * 100, 1), F.lit("%"))
+
+def filled(template: str, *values: str) -> str:
+    """A message with its places filled by text expressions."""
+    pieces = template.split("{}")
+    parts = [quoted(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [value, quoted(piece)]
+    return f"concat({', '.join(parts)})" if values else parts[0]
+
+
+def staged(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    """Add columns stage by stage.
+
+    A later stage reads the columns of an earlier one.  Keeping them as columns, instead of nesting
+    their formulas, is what lets Spark evaluate each of them once per row.
+    """
+    for stage in stages:
+        df = df.withColumns({name: F.expr(text) for name, text in stage.items()})
+    return df

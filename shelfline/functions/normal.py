@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from shelfline.functions.guards import number
 
 # Coefficients of Hart (1968), as published by West (2005), highest power first.
 HART_NUMERATOR = [
@@ -32,17 +31,18 @@ HART_LIMIT = 37.0
 ROOT_TWO_PI = 2.506628274631
 
 
-def _polynomial(x: Column, coefficients: list[float]) -> Column:
-    return reduce(lambda total, c: total * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+def _polynomial(x: str, coefficients: list[float]) -> str:
+    return reduce(lambda total, c: f"({total} * {x} + {number(c)})", coefficients[1:],
+                  number(coefficients[0]))
 
 
-def normal_cdf(x: Column) -> Column:
-    """P(Z <= x); absolute error about 2e-16.  NULL in, NULL out."""
-    size = F.abs(x)
-    density = F.exp(-size * size / 2)
-    centre = density * _polynomial(size, HART_NUMERATOR) / _polynomial(size, HART_DENOMINATOR)
-    fraction = reduce(lambda tail, k: size + F.lit(float(k)) / tail, (4, 3, 2, 1), size + F.lit(0.65))
-    beyond = (F.when(size < HART_CENTRE, centre)
-              .when(size <= HART_LIMIT, density / (fraction * ROOT_TWO_PI))
-              .otherwise(0.0))
-    return F.when(x > 0, 1.0 - beyond).when(x.isNotNull(), beyond)
+def normal_cdf(x: str) -> str:
+    """P(Z <= x) for a column x; absolute error about 2e-16.  NULL in, NULL out."""
+    size = f"abs({x})"
+    density = f"exp(-{x} * {x} / 2)"
+    centre = f"{density} * {_polynomial(size, HART_NUMERATOR)} / {_polynomial(size, HART_DENOMINATOR)}"
+    fraction = reduce(lambda tail, k: f"({size} + {k} / {tail})", (4, 3, 2, 1), f"({size} + 0.65D)")
+    beyond = (f"case when {size} < {number(HART_CENTRE)} then {centre} "
+              f"when {size} <= {number(HART_LIMIT)} "
+              f"then {density} / ({fraction} * {number(ROOT_TWO_PI)}) else 0D end")
+    return f"case when {x} > 0 then 1D - {beyond} when {x} is not null then {beyond} end"

@@ -2,89 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline import messages as m
-from shelfline.functions.guards import texts
+from shelfline.functions.guards import filled, quoted, staged, texts
 from shelfline.params import DEFAULTS, Params
 
 STAGES = ["demand", "trend", "outlier", "pattern", "planning", "financial", "risk"]
 
 
-def _with_number(template: str, value: Column) -> Column:
-    before, after = template.split("{}")
-    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
+def _stage_notes(params: Params) -> dict[str, list[tuple[str, str]]]:
+    """(condition, text expression) per stage over the columns of a product profile."""
+    lead = "coalesce(lead_time_days > 0, false)"
+    stocked = "current_inventory is not null"
+    directional = "trend in ('INCREASING', 'DECREASING')"
+    thresholds = "reorder_point is not null and target_stock is not null"
+    patterned = "observation_count > 0 and mean_demand <> 0"
 
+    def fixed(*pairs: tuple[str, str]) -> list[tuple[str, str]]:
+        return [(condition, quoted(text)) for condition, text in pairs]
 
-def with_notes(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Add one array of warning texts per stage to a product profile."""
-    c = F.col
-    n, mean = c("observation_count"), c("mean_demand")
-    stock = c("current_inventory")
-    no_lead = ~F.coalesce(c("lead_time_days") > 0, F.lit(False))
-    planned = ~no_lead
-    stocked = stock.isNotNull()
-    zero_mean = planned & stocked & ~F.coalesce(mean > 0, F.lit(False))
-    directional = c("trend").isin("INCREASING", "DECREASING")
-    no_thresholds = c("reorder_point").isNull() | c("target_stock").isNull()
-    patterned = (n > 0) & (mean != 0)
-
-    planning = [
-        (no_lead, m.BAD_LEAD_TIME),
-        (planned & stock.isNull(), m.NO_INVENTORY_PLANNING),
-        (zero_mean, m.ZERO_MEAN_COVER),
-        (planned & stocked & (c("lead_time_sd") == 0), m.ZERO_VARIABILITY),
-    ]
-    stages = {
-        "demand": [
-            (n == 0, m.NO_DEMAND),
-            (n == 1, m.NO_SAMPLE_DEVIATION),
-            ((n >= 2) & (mean <= 0), m.ZERO_MEAN_CV),
-        ],
-        "trend": [(n < 2, m.NO_TREND), ((n >= 2) & (mean == 0), m.ZERO_MEAN_TREND)],
-        "outlier": [(n < 2, m.NO_OUTLIERS),
-                    ((n >= 2) & c("outlier_method").isNull(), m.ZERO_MAD)],
+    planning = fixed(
+        (f"not {lead}", m.BAD_LEAD_TIME),
+        (f"{lead} and not {stocked}", m.NO_INVENTORY_PLANNING),
+        (f"{lead} and {stocked} and not coalesce(mean_demand > 0, false)", m.ZERO_MEAN_COVER),
+        (f"{lead} and {stocked} and lead_time_sd = 0", m.ZERO_VARIABILITY),
+    )
+    return {
+        "demand": fixed(
+            ("observation_count = 0", m.NO_DEMAND),
+            ("observation_count = 1", m.NO_SAMPLE_DEVIATION),
+            ("observation_count >= 2 and mean_demand <= 0", m.ZERO_MEAN_CV),
+        ),
+        "trend": fixed(
+            ("observation_count < 2", m.NO_TREND),
+            ("observation_count >= 2 and mean_demand = 0", m.ZERO_MEAN_TREND),
+        ),
+        "outlier": fixed(
+            ("observation_count < 2", m.NO_OUTLIERS),
+            ("observation_count >= 2 and outlier_method is null", m.ZERO_MAD),
+        ),
         "pattern": [
-            (n == 0, m.NO_SEASONALITY),
-            ((n > 0) & (mean == 0), m.ZERO_MEAN_SEASONALITY),
-            (patterned & ~c("weekday_pattern_available"),
-             _with_number(m.FEW_WEEKS, c("weeks_observed"))),
-            (patterned & c("months_observed").between(2, params.annual_months - 1),
-             _with_number(m.SHORT_HISTORY, c("months_observed"))),
-            (patterned & (c("months_observed") < 2), m.FEW_MONTHS),
+            *fixed(("observation_count = 0", m.NO_SEASONALITY),
+                   ("observation_count > 0 and mean_demand = 0", m.ZERO_MEAN_SEASONALITY)),
+            (f"{patterned} and not weekday_pattern_available",
+             filled(m.FEW_WEEKS, "cast(weeks_observed as string)")),
+            (f"{patterned} and months_observed between 2 and {params.annual_months - 1}",
+             filled(m.SHORT_HISTORY, "cast(months_observed as string)")),
+            *fixed((f"{patterned} and months_observed < 2", m.FEW_MONTHS)),
         ],
         "planning": planning,
-        "financial": [(stock.isNull(), m.NO_INVENTORY_FINANCIAL), *planning],
-        "risk": [
-            (c("stockout_probability").isNull(), m.NO_STOCKOUT_SCORE),
-            (c("cv").isNull(), m.NO_VOLATILITY_SCORE),
-            (c("trend").isNull(), m.NO_TREND_SCORE),
-            (directional & stock.isNull(), m.TREND_WITHOUT_INVENTORY),
-            (directional & stocked & no_thresholds, m.TREND_WITHOUT_THRESHOLDS),
-            (c("excess_units").isNull(), m.NO_EXCESS_SCORE),
-            ((c("excess_units") > 0) & (c("target_stock") <= 0), m.EXCESS_WITHOUT_TARGET),
-            (c("revenue_at_risk").isNull(), m.NO_REVENUE_AT_RISK),
-            (c("revenue_at_risk").isNotNull() & c("financial_exposure_score").isNull(),
-             m.NO_REFERENCE),
-            (c("seasonal_deviation").isNull(), m.NO_SEASONALITY_SCORE),
-            (c("risk_score").isNull(), m.NO_COMPONENTS),
-        ],
+        "financial": [*fixed((f"not {stocked}", m.NO_INVENTORY_FINANCIAL)), *planning],
+        "risk": fixed(
+            ("stockout_probability is null", m.NO_STOCKOUT_SCORE),
+            ("cv is null", m.NO_VOLATILITY_SCORE),
+            ("trend is null", m.NO_TREND_SCORE),
+            (f"{directional} and not {stocked}", m.TREND_WITHOUT_INVENTORY),
+            (f"{directional} and {stocked} and not ({thresholds})", m.TREND_WITHOUT_THRESHOLDS),
+            ("excess_units is null", m.NO_EXCESS_SCORE),
+            ("excess_units > 0 and target_stock <= 0", m.EXCESS_WITHOUT_TARGET),
+            ("revenue_at_risk is null", m.NO_REVENUE_AT_RISK),
+            ("revenue_at_risk is not null and financial_exposure_score is null", m.NO_REFERENCE),
+            ("seasonal_deviation is null", m.NO_SEASONALITY_SCORE),
+            ("risk_score is null", m.NO_COMPONENTS),
+        ),
     }
-    return profile.withColumns({
-        f"{stage}_warnings": texts(
-            (condition, F.lit(text) if isinstance(text, str) else text) for condition, text in found)
-        for stage, found in stages.items()
-    })
+
+
+def with_notes(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Add one array of warning texts per stage to a product profile."""
+    return staged(profile, {f"{stage}_warnings": texts(found)
+                            for stage, found in _stage_notes(params).items()})
 
 
 def product_warnings(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Long form: (product, stage, position, warning)."""
-    noted = with_notes(profile, params)
-    per_stage = F.array(*[F.struct(F.lit(stage).alias("stage"),
-                                   F.col(f"{stage}_warnings").alias("warnings"))
-                          for stage in STAGES])
+    per_stage = ", ".join(f"named_struct('stage', '{stage}', 'warnings', {stage}_warnings)"
+                          for stage in STAGES)
     return (
-        noted.select("product", F.inline(per_stage))
+        with_notes(profile, params)
+        .select("product", F.expr(f"inline(array({per_stage}))"))
         .select("product", "stage", F.posexplode("warnings").alias("position", "warning"))
     )

@@ -1,17 +1,12 @@
-"""Replenishment planning and financial exposure, one row per product in and out.
-
-Each function adds a few projections.  Intermediate results become columns instead of being
-inlined into later formulas, so Catalyst evaluates every one of them once per row.
-"""
+"""Replenishment planning and financial exposure, row by row."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from shelfline.functions.guards import at_least_zero, ratio
+from shelfline.functions.guards import at_least_zero, number, ratio, staged
 from shelfline.functions.normal import normal_cdf
 from shelfline.params import DEFAULTS, Params
 
@@ -32,35 +27,30 @@ class Inputs:
 def with_planning(df: DataFrame, inputs: Inputs = Inputs(), params: Params = DEFAULTS,
                   prefix: str = "") -> DataFrame:
     """Lead-time demand, safety stock, reorder point, cover, stockout probability, quantity."""
-    mean, sd = F.col(inputs.mean), F.col(inputs.sd)
-    stock, lead = F.col(inputs.inventory), F.col(inputs.lead)
-    usable = (lead > 0) & sd.isNotNull()
-
-    def out(name: str) -> str:
-        return prefix + name
-
-    demand, spread = F.col(out("lead_time_demand")), F.col(out("lead_time_sd"))
-    point, standing = F.col(out("reorder_point")), F.col(out("standing"))
-    return (
-        df.withColumns({
-            out("lead_time_demand"): F.when(usable, mean * lead),
-            out("lead_time_sd"): F.when(usable, sd * F.sqrt(lead)),
-        })
-        .withColumns({
-            out("safety_stock"): F.lit(params.z_score) * spread,
-            out("days_remaining"): F.when(usable, ratio(stock, mean)),
-            out("standing"): ratio(stock - demand, spread),
-        })
-        .withColumns({
-            out("reorder_point"): demand + F.col(out("safety_stock")),
-            out("stockout_probability"):
-                F.when((spread == 0) & (stock < demand), 1.0)
-                .when((spread == 0) & (stock >= demand), 0.0)
-                .otherwise(1.0 - normal_cdf(standing)),
-        })
-        .withColumn(out("reorder_quantity"), at_least_zero(point - stock))
-        .drop(out("standing"))
-    )
+    i, p = inputs, prefix
+    usable = f"{i.lead} > 0 and {i.sd} is not null"
+    certain = f"{p}lead_time_sd = 0"
+    return staged(
+        df,
+        {
+            f"{p}lead_time_demand": f"case when {usable} then {i.mean} * {i.lead} end",
+            f"{p}lead_time_sd": f"case when {usable} then {i.sd} * sqrt({i.lead}) end",
+            f"{p}days_remaining": f"case when {usable} and {i.mean} > 0 "
+                                  f"then {i.inventory} / {i.mean} end",
+        },
+        {
+            f"{p}safety_stock": f"{number(params.z_score)} * {p}lead_time_sd",
+            f"{p}standing": ratio(f"{i.inventory} - {p}lead_time_demand", f"{p}lead_time_sd"),
+        },
+        {
+            f"{p}reorder_point": f"{p}lead_time_demand + {p}safety_stock",
+            f"{p}stockout_probability":
+                f"case when {certain} and {i.inventory} < {p}lead_time_demand then 1D "
+                f"when {certain} and {i.inventory} >= {p}lead_time_demand then 0D "
+                f"else 1D - {normal_cdf(f'{p}standing')} end",
+        },
+        {f"{p}reorder_quantity": at_least_zero(f"{p}reorder_point - {i.inventory}")},
+    ).drop(f"{p}standing")
 
 
 def with_financial(df: DataFrame, inputs: Inputs = Inputs(), params: Params = DEFAULTS,
@@ -69,45 +59,38 @@ def with_financial(df: DataFrame, inputs: Inputs = Inputs(), params: Params = DE
 
     Daily revenue, cost of goods, profit and margin are added when ``inputs.sold`` names a column.
     """
-    mean, stock = F.col(inputs.mean), F.col(inputs.inventory)
-    cost, price = F.col(inputs.cost), F.col(inputs.price)
-
-    def out(name: str) -> str:
-        return prefix + name
-
-    shortage, target = F.col(out("shortage_units")), F.col(out("target_stock"))
-    safety = F.lit(params.z_score) * F.col(out("lead_time_sd"))
-    result = (
-        df.withColumns({
-            out("profit_per_unit"): price - cost,
-            out("inventory_value"): stock * cost,
-            out("capital_tied_up"): stock * cost,
-            out("shortage_units"): at_least_zero(F.col(out("lead_time_demand")) - stock),
-            out("target_stock"): mean * params.planning_horizon + safety,
-        })
-        .withColumns({
-            out("revenue_at_risk"): shortage * price,
-            out("profit_at_risk"): shortage * (price - cost),
-            out("excess_units"): at_least_zero(stock - target),
-        })
-        .withColumn(out("excess_inventory_value"), F.col(out("excess_units")) * cost)
+    i, p = inputs, prefix
+    exposure = staged(
+        df,
+        {
+            f"{p}profit_per_unit": f"{i.price} - {i.cost}",
+            f"{p}inventory_value": f"{i.inventory} * {i.cost}",
+            f"{p}capital_tied_up": f"{i.inventory} * {i.cost}",
+            f"{p}shortage_units": at_least_zero(f"{p}lead_time_demand - {i.inventory}"),
+            f"{p}target_stock": f"{i.mean} * {number(params.planning_horizon)} "
+                                f"+ {number(params.z_score)} * {p}lead_time_sd",
+        },
+        {
+            f"{p}revenue_at_risk": f"{p}shortage_units * {i.price}",
+            f"{p}profit_at_risk": f"{p}shortage_units * ({i.price} - {i.cost})",
+            f"{p}excess_units": at_least_zero(f"{i.inventory} - {p}target_stock"),
+        },
+        {f"{p}excess_inventory_value": f"{p}excess_units * {i.cost}"},
     )
-    return result if inputs.sold is None else _with_daily_result(result, inputs, out)
-
-
-def _with_daily_result(df: DataFrame, inputs: Inputs, out) -> DataFrame:
-    sold, cost, price = F.col(inputs.sold), F.col(inputs.cost), F.col(inputs.price)
-    revenue = F.col(out("daily_revenue"))
-    return (
-        df.withColumns({
-            out("daily_revenue"): sold * price,
-            out("daily_cogs"): sold * cost,
-            out("daily_profit"): sold * price - sold * cost,
-        })
-        .withColumn(out("gross_margin"), margin(F.col(out("daily_profit")), revenue))
+    if i.sold is None:
+        return exposure
+    return staged(
+        exposure,
+        {
+            f"{p}daily_revenue": f"{i.sold} * {i.price}",
+            f"{p}daily_cogs": f"{i.sold} * {i.cost}",
+            f"{p}daily_profit": f"{i.sold} * {i.price} - {i.sold} * {i.cost}",
+        },
+        {f"{p}gross_margin": margin(f"{p}daily_profit", f"{p}daily_revenue")},
     )
 
 
-def margin(profit: Column, revenue: Column) -> Column:
+def margin(profit: str, revenue: str) -> str:
     """profit / revenue, 0 without revenue, NULL when revenue is unknown."""
-    return F.when(revenue > 0, profit / revenue).when(revenue.isNotNull(), 0.0)
+    return (f"case when {revenue} > 0 then {profit} / {revenue} "
+            f"when {revenue} is not null then 0D end")

@@ -2,196 +2,183 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from shelfline import messages
-from shelfline.functions.guards import decimals, holds, percent, ratio, texts
+from shelfline.functions.guards import (decimals, filled, holds, number, percent, quoted, ratio,
+                                        staged, texts)
 from shelfline.params import DEFAULTS, Params
 
 # Order of urgency used by rankings; unknown priorities sort last.
 PRIORITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "NONE"]
 UNRANKED = 99
 
+EVIDENCE = ["stockout_probability", "days_remaining", "lead_time_demand", "reorder_point",
+            "reorder_quantity", "target_stock", "excess_units", "excess_inventory_value",
+            "revenue_at_risk", "profit_at_risk", "risk_level", "risk_score"]
+
 
 @dataclass(frozen=True)
 class Context:
-    """Columns the rules read beside planning, financial and risk results (names or literals)."""
-
-    mean: Column = field(default_factory=lambda: F.col("mean_demand"))
-    cv: Column = field(default_factory=lambda: F.col("cv"))
-    trend: Column = field(default_factory=lambda: F.col("trend"))
-    strength: Column = field(default_factory=lambda: F.col("trend_strength"))
-    observations: Column = field(default_factory=lambda: F.col("observation_count"))
-    inventory: Column = field(default_factory=lambda: F.col("current_inventory"))
-    lead: Column = field(default_factory=lambda: F.col("lead_time_days"))
+    """What the rules read beside planning, financial and risk results: columns or literals."""
+
+    mean: str = "mean_demand"
+    cv: str = "cv"
+    trend: str = "trend"
+    strength: str = "trend_strength"
+    observations: str = "observation_count"
+    inventory: str = "current_inventory"
+    lead: str = "lead_time_days"
     # optional wider context
-    category: Column | None = None
-    category_level: Column | None = None
-    overall_status: Column | None = None
+    category: str | None = None
+    category_level: str | None = None
+    overall_status: str | None = None
+
+
+def _gate(context: Context, p: str) -> list[tuple[str, str]]:
+    """What makes a recommendation impossible, with its wording."""
+    return [
+        (f"{context.observations} = 0", messages.GATE_NO_DEMAND),
+        (f"{p}lead_time_demand is null", messages.GATE_NO_LEAD_DEMAND),
+        (f"{p}target_stock is null", messages.GATE_NO_TARGET),
+        (f"{p}risk_score is null", messages.GATE_NO_SCORE),
+        (f"{context.inventory} is null", messages.GATE_NO_INVENTORY),
+    ]
 
 
-def _rules(row: dict[str, Column], context: Context, params: Params):
+def _rules(context: Context, params: Params, p: str) -> list[tuple[str, str, str, str, str]]:
     """(branch, condition, action, priority, reason) in order of precedence."""
-    p, days = row["stockout_probability"], row["days_remaining"]
-    excess, cover = row["excess_ratio"], row["coverage_ratio"]
-    rising, falling = context.trend == "INCREASING", context.trend == "DECREASING"
-    idle = context.mean == 0
-    short = holds(p > params.stockout_signal)
-    over = holds(excess > params.excess_signal)
-    both = short & over
-    urgent = days <= F.when(rising, 3).otherwise(2)
-    soon = days <= F.when(rising, 5).otherwise(4)
+    def above(value: str, limit: float) -> str:
+        return f"{value} > {number(limit)}"
+
+    chance, days = f"{p}stockout_probability", f"{p}days_remaining"
+    excess, cover = f"{p}excess_ratio", f"{p}coverage_ratio"
+    rising = f"{context.trend} = 'INCREASING'"
+    idle = f"{context.mean} = 0"
+    short, over = f"{p}stockout_signal", f"{p}excess_signal"
+    both = f"{short} and {over}"
+    urgent = f"{short} and {days} <= if({rising}, 3, 2)"
+    soon = f"{short} and {days} <= if({rising}, 5, 4)"
+    severe = above(excess, params.excess_severe)
     return [
-        ("DATA_INCOMPLETE", row["incomplete"], "UNAVAILABLE", "LOW", "DATA_INCOMPLETE"),
-        ("CONFLICT_STOCKOUT", both & (p > params.stockout_critical),
+        ("DATA_INCOMPLETE", " or ".join(condition for condition, _ in _gate(context, p)),
+         "UNAVAILABLE", "LOW", "DATA_INCOMPLETE"),
+        ("CONFLICT_STOCKOUT", f"{both} and {above(chance, params.stockout_critical)}",
          "REORDER", "CRITICAL", "CONFLICT_STOCKOUT"),
-        ("CONFLICT_EXCESS", both & (excess > params.excess_severe),
-         "REDUCE", "HIGH", "CONFLICT_EXCESS"),
+        ("CONFLICT_EXCESS", f"{both} and {severe}", "REDUCE", "HIGH", "CONFLICT_EXCESS"),
         ("CONFLICT_MONITOR", both, "MONITOR", "MEDIUM", "CONFLICT_MONITOR"),
-        ("STOCKOUT_CRITICAL", short & urgent, "REORDER", "CRITICAL", "COVERAGE_BELOW_LEAD"),
-        ("STOCKOUT_HIGH", short & soon & (p > params.stockout_elevated),
+        ("STOCKOUT_CRITICAL", urgent, "REORDER", "CRITICAL", "COVERAGE_BELOW_LEAD"),
+        ("STOCKOUT_HIGH", f"{soon} and {above(chance, params.stockout_elevated)}",
          "REORDER", "HIGH", "STOCKOUT_ELEVATED"),
-        ("STOCKOUT_HIGH", short & soon, "REORDER", "HIGH", "COVERAGE_BELOW_LEAD"),
+        ("STOCKOUT_HIGH", soon, "REORDER", "HIGH", "COVERAGE_BELOW_LEAD"),
         ("STOCKOUT_MEDIUM", short, "REORDER", "MEDIUM", "STOCKOUT_PRESENT"),
-        ("VOLATILE_COVERED", (context.cv > params.volatile_cv) & (cover > 1.0),
+        ("VOLATILE_COVERED", f"{above(context.cv, params.volatile_cv)} and {cover} > 1",
          "MONITOR", "MEDIUM", "VOLATILE_COVERED"),
-        ("ZERO_DEMAND_EXCESS", idle & (row["excess_units"] > params.material_excess_units),
+        ("ZERO_DEMAND_EXCESS",
+         f"{idle} and {above(f'{p}excess_units', params.material_excess_units)}",
          "REDUCE", "HIGH", "ZERO_DEMAND_EXCESS"),
         ("ZERO_DEMAND", idle, "HOLD", "MEDIUM", "ZERO_DEMAND"),
-        ("EXCESS_HIGH", over & (excess > params.excess_severe),
-         "REDUCE", "HIGH", "EXCESS_SIGNIFICANT"),
+        ("EXCESS_HIGH", f"{over} and {severe}", "REDUCE", "HIGH", "EXCESS_SIGNIFICANT"),
         ("EXCESS_MEDIUM", over, "REDUCE", "MEDIUM", "EXCESS_PRESENT"),
-        ("INCREASING_LOW_COVER", rising & (cover < 1.0), "REORDER", "HIGH", "INCREASING_LOW_COVER"),
-        ("DECREASING_HIGH_COVER", falling & (cover > 1.5), "HOLD", "LOW", "DECREASING_HIGH_COVER"),
-        ("RISK_HIGH", row["risk_level"] == "HIGH", "MONITOR", "MEDIUM", "RISK_HIGH"),
-        ("RISK_MEDIUM", row["risk_level"] == "MEDIUM", "MONITOR", "LOW", "RISK_MEDIUM"),
-        ("LOW_COVER_BUFFER", cover < 0.5, "REORDER", "LOW", "LOW_COVER_BUFFER"),
-        ("HEALTHY", F.lit(True), "NO_ACTION", "NONE", "HEALTHY"),
+        ("INCREASING_LOW_COVER", f"{rising} and {cover} < 1",
+         "REORDER", "HIGH", "INCREASING_LOW_COVER"),
+        ("DECREASING_HIGH_COVER", f"{context.trend} = 'DECREASING' and {cover} > 1.5D",
+         "HOLD", "LOW", "DECREASING_HIGH_COVER"),
+        ("RISK_HIGH", f"{p}risk_level = 'HIGH'", "MONITOR", "MEDIUM", "RISK_HIGH"),
+        ("RISK_MEDIUM", f"{p}risk_level = 'MEDIUM'", "MONITOR", "LOW", "RISK_MEDIUM"),
+        ("LOW_COVER_BUFFER", f"{cover} < 0.5D", "REORDER", "LOW", "LOW_COVER_BUFFER"),
+        ("HEALTHY", "true", "NO_ACTION", "NONE", "HEALTHY"),
     ]
 
 
-def _decision(rules) -> Column:
-    chain = F
-    for branch, condition, action, priority, reason in rules:
-        outcome = F.struct(F.lit(branch).alias("branch"), F.lit(action).alias("action"),
-                           F.lit(priority).alias("priority"), F.lit(reason).alias("reason"))
-        chain = chain.when(condition, outcome)
-    return chain
-
+def _decision(rules: list[tuple[str, str, str, str, str]]) -> str:
+    arms = " ".join(
+        f"when {condition} then named_struct('branch', {quoted(branch)}, 'action', {quoted(action)}, "
+        f"'priority', {quoted(priority)}, 'reason', {quoted(reason)})"
+        for branch, condition, action, priority, reason in rules)
+    return f"case {arms} end"
 
-def gate_checks(row: dict[str, Column], context: Context) -> list[tuple[Column, str]]:
-    """What makes a recommendation impossible, with its wording."""
-    return [
-        (context.observations == 0, messages.GATE_NO_DEMAND),
-        (row["lead_time_demand"].isNull(), messages.GATE_NO_LEAD_DEMAND),
-        (row["target_stock"].isNull(), messages.GATE_NO_TARGET),
-        (row["risk_score"].isNull(), messages.GATE_NO_SCORE),
-        (context.inventory.isNull(), messages.GATE_NO_INVENTORY),
-    ]
 
-
-def _fill(code: str, *values: Column) -> Column:
-    pieces = messages.REASONS[code].split("{}")
-    parts = [F.lit(pieces[0])]
-    for value, piece in zip(values, pieces[1:]):
-        parts += [value, F.lit(piece)]
-    return F.concat(*parts) if values else parts[0]
-
-
-def _reasons(row: dict[str, Column], context: Context) -> list[tuple[Column, str, Column]]:
+def _reasons(context: Context, p: str) -> list[tuple[str, str, str]]:
     """(condition, code, text) of every reason, in the order they are reported."""
-    chosen, action = row["reason"], row["action"]
-    decided = action != "UNAVAILABLE"
-    quantity, p = row["reorder_quantity"], row["stockout_probability"]
+    def say(code: str, *values: str) -> str:
+        return filled(messages.REASONS[code], *values)
+
+    reason, decided = f"{p}decision.reason", f"{p}action <> 'UNAVAILABLE'"
+    reorder, quantity = f"{p}action = 'REORDER'", f"{p}reorder_quantity"
+    chance = f"{p}stockout_probability"
     worded = {
-        "COVERAGE_BELOW_LEAD": [decimals(row["days_remaining"], 1), decimals(context.lead, 1)],
-        "STOCKOUT_ELEVATED": [percent(p)],
-        "EXCESS_SIGNIFICANT": [percent(row["excess_ratio"])],
+        "COVERAGE_BELOW_LEAD": [decimals(f"{p}days_remaining", 1), decimals(context.lead, 1)],
+        "STOCKOUT_ELEVATED": [percent(chance)],
+        "EXCESS_SIGNIFICANT": [percent(f"{p}excess_ratio")],
     }
-    primary = list(messages.REASONS)[:list(messages.REASONS).index("REORDER_QTY")]
-    primary.remove("DEMAND_INCREASING")
-    listed = [(chosen == code, code, _fill(code, *worded.get(code, []))) for code in primary]
-    in_stockout_arm = row["branch"].isin("STOCKOUT_CRITICAL", "STOCKOUT_HIGH", "STOCKOUT_MEDIUM")
+    codes = list(messages.REASONS)
+    primary = [c for c in codes[:codes.index("REORDER_QTY")] if c != "DEMAND_INCREASING"]
+    listed = [(f"{reason} = {quoted(code)}", code, say(code, *worded.get(code, [])))
+              for code in primary]
+
+    def positive(name: str, code: str) -> tuple[str, str, str]:
+        return f"{decided} and {p}{name} > 0", code, say(code, decimals(f"{p}{name}", 2))
+
+    stockout_arm = f"{p}branch in ('STOCKOUT_CRITICAL', 'STOCKOUT_HIGH', 'STOCKOUT_MEDIUM')"
     listed += [
-        (in_stockout_arm & holds(context.trend == "INCREASING"), "DEMAND_INCREASING",
-         _fill("DEMAND_INCREASING")),
-        ((action == "REORDER") & quantity.isNotNull(), "REORDER_QTY",
-         _fill("REORDER_QTY", decimals(quantity, 1))),
-        ((action == "REORDER") & quantity.isNull(), "REORDER_QTY_UNKNOWN",
-         _fill("REORDER_QTY_UNKNOWN")),
-        (decided & (p > 0), "STOCKOUT_ESTIMATE", _fill("STOCKOUT_ESTIMATE", percent(p))),
-        (decided & (row["revenue_at_risk"] > 0), "REVENUE_AT_RISK",
-         _fill("REVENUE_AT_RISK", decimals(row["revenue_at_risk"], 2))),
-        (decided & (row["profit_at_risk"] > 0), "PROFIT_AT_RISK",
-         _fill("PROFIT_AT_RISK", decimals(row["profit_at_risk"], 2))),
-        (decided & (row["excess_inventory_value"] > 0), "EXCESS_VALUE",
-         _fill("EXCESS_VALUE", decimals(row["excess_inventory_value"], 2))),
+        (f"{stockout_arm} and {context.trend} = 'INCREASING'", "DEMAND_INCREASING",
+         say("DEMAND_INCREASING")),
+        (f"{reorder} and {quantity} is not null", "REORDER_QTY",
+         say("REORDER_QTY", decimals(quantity, 1))),
+        (f"{reorder} and {quantity} is null", "REORDER_QTY_UNKNOWN", say("REORDER_QTY_UNKNOWN")),
+        (f"{decided} and {chance} > 0", "STOCKOUT_ESTIMATE",
+         say("STOCKOUT_ESTIMATE", percent(chance))),
+        positive("revenue_at_risk", "REVENUE_AT_RISK"),
+        positive("profit_at_risk", "PROFIT_AT_RISK"),
+        positive("excess_inventory_value", "EXCESS_VALUE"),
     ]
     if context.category_level is not None:
-        listed.append((decided & (context.category_level == "HIGH"), "CATEGORY_HIGH",
-                       _fill("CATEGORY_HIGH", context.category)))
+        listed.append((f"{decided} and {context.category_level} = 'HIGH'", "CATEGORY_HIGH",
+                       say("CATEGORY_HIGH", context.category)))
     if context.overall_status is not None:
-        listed.append((decided & (context.overall_status == "CRITICAL"), "OVERALL_CRITICAL",
-                       _fill("OVERALL_CRITICAL")))
+        listed.append((f"{decided} and {context.overall_status} = 'CRITICAL'",
+                       "OVERALL_CRITICAL", say("OVERALL_CRITICAL")))
     return listed
 
 
-def evidence(context: Context, prefix: str = "") -> list[Column]:
-    """The numbers behind a recommendation, in a fixed field order."""
-    def col(name: str) -> Column:
-        return F.col(prefix + name).alias(name)
-
-    return [
-        context.mean.alias("mean_demand"), context.cv.alias("cv"),
-        context.trend.alias("trend"), context.strength.alias("trend_strength"),
-        *map(col, ["stockout_probability", "days_remaining", "lead_time_demand", "reorder_point",
-                   "reorder_quantity", "target_stock", "excess_units", "excess_inventory_value",
-                   "revenue_at_risk", "profit_at_risk", "risk_level", "risk_score"]),
-    ]
+def evidence(context: Context = Context(), extra: tuple[str, ...] = (), prefix: str = "") -> str:
+    """Struct with the numbers behind a recommendation, in a fixed field order."""
+    fields = {"mean_demand": context.mean, "cv": context.cv, "trend": context.trend,
+              "trend_strength": context.strength,
+              **{name: prefix + name for name in EVIDENCE}, **{name: name for name in extra}}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def with_recommendation(df: DataFrame, context: Context | None = None, params: Params = DEFAULTS,
+def with_recommendation(df: DataFrame, context: Context = Context(), params: Params = DEFAULTS,
                         prefix: str = "") -> DataFrame:
     """Add ratios, branch, action, priority, suggested quantity, reasons and gate warnings."""
-    context = context or Context()
-    names = ["stockout_probability", "days_remaining", "lead_time_demand", "target_stock",
-             "excess_units", "excess_inventory_value", "revenue_at_risk", "profit_at_risk",
-             "reorder_quantity", "risk_level", "risk_score", "coverage_ratio", "excess_ratio",
-             "incomplete", "branch", "action", "priority", "reason"]
-    row = {name: F.col(prefix + name) for name in names}
-    checks = gate_checks(row, context)
-    incomplete = checks[0][0]
-    for condition, _ in checks[1:]:
-        incomplete = incomplete | condition
-    decision = F.col(prefix + "decision")
-    decided = (
-        df.withColumns({
-            prefix + "coverage_ratio": ratio(row["days_remaining"], context.lead),
-            prefix + "excess_ratio": ratio(row["excess_units"], row["target_stock"]),
-            prefix + "incomplete": incomplete,
-        })
-        .withColumn(prefix + "decision", _decision(_rules(row, context, params)))
-        .withColumns({prefix + part: decision[part]
-                      for part in ("branch", "action", "priority", "reason")})
-    )
-    reasons = _reasons(row, context)
-    return (
-        decided.withColumns({
-            prefix + "suggested_quantity":
-                F.when(row["action"] != "UNAVAILABLE", row["reorder_quantity"]),
-            prefix + "reason_codes": texts((cond, F.lit(code)) for cond, code, _ in reasons),
-            prefix + "reasons": texts((cond, text) for cond, _, text in reasons),
-            prefix + "gate_warnings": texts((cond, F.lit(text)) for cond, text in checks),
-        })
-        .drop(prefix + "decision", prefix + "incomplete", prefix + "reason")
-    )
-
-
-def priority_rank(priority: Column) -> Column:
-    ranks = F
-    for rank, name in enumerate(PRIORITIES):
-        ranks = ranks.when(priority == name, rank)
-    return ranks.otherwise(UNRANKED)
+    p = prefix
+    reasons = _reasons(context, p)
+    return staged(
+        df,
+        {
+            f"{p}coverage_ratio": ratio(f"{p}days_remaining", context.lead),
+            f"{p}excess_ratio": ratio(f"{p}excess_units", f"{p}target_stock"),
+        },
+        {
+            f"{p}stockout_signal":
+                holds(f"{p}stockout_probability > {number(params.stockout_signal)}"),
+            f"{p}excess_signal": holds(f"{p}excess_ratio > {number(params.excess_signal)}"),
+        },
+        {f"{p}decision": _decision(_rules(context, params, p))},
+        {f"{p}{part}": f"{p}decision.{part}" for part in ("branch", "action", "priority")},
+        {
+            f"{p}suggested_quantity": f"if({p}action = 'UNAVAILABLE', null, {p}reorder_quantity)",
+            f"{p}reason_codes": texts((cond, quoted(code)) for cond, code, _ in reasons),
+            f"{p}reasons": texts((cond, text) for cond, _, text in reasons),
+            f"{p}gate_warnings": texts((cond, quoted(text)) for cond, text in _gate(context, p)),
+        },
+    ).drop(f"{p}decision", f"{p}stockout_signal", f"{p}excess_signal")
+
+
+def priority_rank(priority: str) -> str:
+    ranks = " ".join(f"when {quoted(name)} then {rank}" for rank, name in enumerate(PRIORITIES))
+    return f"case {priority} {ranks} else {UNRANKED} end"

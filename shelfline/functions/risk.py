@@ -2,107 +2,85 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from shelfline.functions.guards import at_most_100, band, ratio
+from shelfline.functions.guards import UNKNOWN, at_most_100, band, number, quoted, ratio, staged
 from shelfline.params import DEFAULTS, Params
 
 COMPONENTS = ["stockout_exposure", "demand_volatility", "demand_trend", "excess_inventory",
               "financial_exposure", "seasonality"]
 
 
-def _column(name: str):
-    return field(default_factory=lambda: F.col(name))
-
-
 @dataclass(frozen=True)
 class Signals:
-    """Demand-side inputs of the score; literals take the place of columns in what-if runs."""
+    """Demand-side inputs of the score: column names, or literals in what-if runs."""
 
-    cv: Column = _column("cv")
-    trend: Column = _column("trend")
-    strength: Column = _column("trend_strength")
-    seasonal_deviation: Column = _column("seasonal_deviation")
-    financial_reference: Column = field(default_factory=lambda: F.lit(None).cast("double"))
+    cv: str = "cv"
+    trend: str = "trend"
+    strength: str = "trend_strength"
+    seasonal_deviation: str = "seasonal_deviation"
+    financial_reference: str = UNKNOWN
 
 
-def trend_component(signals: Signals, stock: Column, reorder: Column, target: Column,
-                    params: Params = DEFAULTS) -> Column:
+def trend_component(signals: Signals, stock: str, reorder: str, target: str,
+                    params: Params = DEFAULTS) -> str:
     """Trend pressure in the light of current stock; a stable trend scores a constant."""
-    short, over = stock < reorder, stock > target
-    weight = (
-        F.when(signals.trend == "INCREASING", F.when(short, 1.0).when(over, 0.5).otherwise(0.7))
-        .when(signals.trend == "DECREASING", F.when(over, 1.0).when(short, 0.5).otherwise(0.7))
-    )
-    in_context = stock.isNotNull() & reorder.isNotNull() & target.isNotNull()
-    pressure = at_most_100(F.abs(signals.strength) * 100)
-    return (
-        F.when(signals.strength.isNull(), None)
-        .when(signals.trend == "STABLE", params.stable_trend_score)
-        .when(in_context, pressure * weight)
-    )
+    short, over = f"{stock} < {reorder}", f"{stock} > {target}"
+    weight = (f"case {signals.trend} "
+              f"when 'INCREASING' then case when {short} then 1D when {over} then 0.5D else 0.7D end "
+              f"when 'DECREASING' then case when {over} then 1D when {short} then 0.5D else 0.7D end "
+              f"end")
+    known = f"{stock} is not null and {reorder} is not null and {target} is not null"
+    return (f"case when {signals.strength} is null then null "
+            f"when {signals.trend} = 'STABLE' then {number(params.stable_trend_score)} "
+            f"when {known} then {at_most_100(f'abs({signals.strength}) * 100')} * {weight} end")
+
 
+def excess_component(stock: str, target: str, excess: str) -> str:
+    known = f"{stock} is not null and {target} is not null"
+    return (f"case when {known} and {excess} <= 0 then 0D "
+            f"when {known} and {target} > 0 then {at_most_100(f'{excess} / {target} * 100')} end")
 
-def excess_component(stock: Column, target: Column, excess: Column) -> Column:
-    known = stock.isNotNull() & target.isNotNull()
-    return (F.when(known & (excess <= 0), 0.0)
-            .when(known, at_most_100(ratio(excess, target) * 100)))
+
+def risk_level(score: str, params: Params = DEFAULTS) -> str:
+    return band(score, params.low_risk_max, params.medium_risk_max, ("LOW", "MEDIUM", "HIGH"))
 
 
-def with_risk(df: DataFrame, signals: Signals | None = None, inventory: str = "current_inventory",
+def with_risk(df: DataFrame, signals: Signals = Signals(), inventory: str = "current_inventory",
               params: Params = DEFAULTS, prefix: str = "") -> DataFrame:
     """Add component scores, weights, score and level.  Needs planning and financial columns."""
-    signals = signals or Signals()
-    stock = F.col(inventory)
-
-    def col(name: str) -> Column:
-        return F.col(prefix + name)
-
-    def component(name: str) -> Column:
-        return col(f"{name}_score")
-
-    def weight(name: str) -> Column:
-        return F.lit(params.risk_weights[name])
-
-    scored = df.withColumns({
-        f"{prefix}stockout_exposure_score": at_most_100(col("stockout_probability") * 100),
-        f"{prefix}demand_volatility_score": at_most_100(signals.cv * 50),
-        f"{prefix}demand_trend_score": trend_component(
-            signals, stock, col("reorder_point"), col("target_stock"), params),
-        f"{prefix}excess_inventory_score": excess_component(
-            stock, col("target_stock"), col("excess_units")),
-        f"{prefix}financial_exposure_score": at_most_100(
-            ratio(col("revenue_at_risk"), signals.financial_reference) * 100),
-        f"{prefix}seasonality_score": at_most_100(signals.seasonal_deviation * 100),
-    })
-    available = sum((F.when(component(n).isNotNull(), weight(n)).otherwise(0.0) for n in COMPONENTS),
-                    F.lit(0.0))
-    total = col("available_weight_sum")
-    share = sum((F.coalesce(component(n) * (weight(n) / total), F.lit(0.0)) for n in COMPONENTS),
-                F.lit(0.0))
-    return (
-        scored.withColumn(f"{prefix}available_weight_sum", available)
-        .withColumn(f"{prefix}risk_score",
-                    F.when(total > 0, F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))))
-        .withColumn(f"{prefix}risk_level", risk_level(col("risk_score"), params))
+    p = prefix
+    reference = signals.financial_reference
+    total = f"{p}available_weight_sum"
+    weights = {f"{p}{name}_score": number(params.risk_weights[name]) for name in COMPONENTS}
+    available = " + ".join(f"if({score} is null, 0D, {w})" for score, w in weights.items())
+    share = " + ".join(f"coalesce({score} * ({w} / {total}), 0D)" for score, w in weights.items())
+    return staged(
+        df,
+        {
+            f"{p}stockout_exposure_score": at_most_100(f"{p}stockout_probability * 100"),
+            f"{p}demand_volatility_score": at_most_100(f"{signals.cv} * 50"),
+            f"{p}demand_trend_score": trend_component(
+                signals, inventory, f"{p}reorder_point", f"{p}target_stock", params),
+            f"{p}excess_inventory_score": excess_component(
+                inventory, f"{p}target_stock", f"{p}excess_units"),
+            f"{p}financial_exposure_score": at_most_100(
+                f"({ratio(f'{p}revenue_at_risk', reference)}) * 100"),
+            f"{p}seasonality_score": at_most_100(f"{signals.seasonal_deviation} * 100"),
+        },
+        {total: available},
+        {f"{p}risk_score": f"case when {total} > 0 then least(greatest({share}, 0D), 100D) end"},
+        {f"{p}risk_level": risk_level(f"{p}risk_score", params)},
     )
 
 
-def risk_level(score: Column, params: Params = DEFAULTS) -> Column:
-    return band(score, params.low_risk_max, params.medium_risk_max, ("LOW", "MEDIUM", "HIGH"))
-
-
-def weights_used(params: Params = DEFAULTS, prefix: str = "") -> Column:
+def weights_used(params: Params = DEFAULTS, prefix: str = "") -> str:
     """map<string,double> of the weights of the available components."""
-    empty = F.array().cast("array<struct<name:string,weight:double>>")
-    entries = [
-        F.when(F.col(f"{prefix}{name}_score").isNotNull(),
-               F.array(F.struct(F.lit(name).alias("name"),
-                                F.lit(params.risk_weights[name]).alias("weight"))))
-        .otherwise(empty)
-        for name in COMPONENTS
-    ]
-    return F.map_from_entries(F.concat(*entries))
+    none = "cast(array() as array<struct<name:string,weight:double>>)"
+    entries = ", ".join(
+        f"if({prefix}{name}_score is null, {none}, array(named_struct("
+        f"'name', {quoted(name)}, 'weight', {number(params.risk_weights[name])})))"
+        for name in COMPONENTS)
+    return f"map_from_entries(concat({entries}))"

@@ -5,60 +5,83 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.functions.guards import staged
 from shelfline.functions.planning import margin
 from shelfline.schema import typed
 
-CARRIED = ["category", "inventory", "unit_cost", "selling_price", "supplier", "lead_time_days"]
+LABELS = ["category", "supplier"]
+MEASURES = ["inventory", "unit_cost", "selling_price", "lead_time_days"]
 
 
-def _last_known(name: str) -> Column:
-    """Last non-null value in record order."""
-    value = F.col(name)
-    return F.max_by(value, F.when(value.isNotNull(), F.col("seq"))).alias(name)
+def _seq_where_known(name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.col("seq"))
 
 
-def daily_table(raw: DataFrame, *, one_record_per_day: bool = False) -> DataFrame:
+def _combined(records: DataFrame, labels: list[str]) -> DataFrame:
+    """Records of one product, day and set of labels as one row.
+
+    The labels are grouping keys here, which leaves numbers only in the aggregation buffers: Spark
+    can then combine rows on the map side in a hash table instead of sorting them first.
+    """
+    return records.groupBy("product", "date", *labels).agg(
+        F.sum("units_sold").alias("units_sold"),
+        F.max("seq").alias("seq"),
+        *[F.max_by(name, _seq_where_known(name)).alias(name) for name in MEASURES],
+        *[F.max(_seq_where_known(name)).alias(f"{name}_seq") for name in MEASURES],
+    )
+
+
+def _rolled_up(records: DataFrame, labels: list[str], one_record_per_day: bool) -> DataFrame:
+    """One row per product and day: summed units, and the last non-null value of the rest."""
+    if one_record_per_day:
+        parts = records.withColumns({f"{name}_seq": _seq_where_known(name) for name in MEASURES})
+    else:
+        parts = _combined(records, labels)
+    return parts.repartition("product").groupBy("product", "date").agg(
+        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("units_sold"),
+        *[F.max_by(name, f"{name}_seq").alias(name) for name in MEASURES],
+        *[F.max_by(name, _seq_where_known(name)).alias(name) for name in labels],
+    )
+
+
+def daily_table(raw: DataFrame, *, supplier: bool = True,
+                one_record_per_day: bool = False) -> DataFrame:
     """Roll records up to product and day and derive revenue, profit, value and stock change.
 
-    Raw rows are combined before they are shuffled, and the first shuffle is on product *and*
-    day, so a product that holds a large share of the records is spread over many tasks.  After
-    the roll-up a product has at most one row per calendar day, which bounds the per-product
-    windows used later.
+    Raw rows are combined on the map side and first shuffled by product *and* day, so a product
+    that holds a large share of the records is spread over many tasks.  Only then are rows
+    clustered by product, and by then a product has about one row per calendar day, which bounds
+    the group that one task sees.  That clustering and its order by date also serve every
+    per-product window and aggregate applied to the result.
 
+    ``supplier=False`` leaves the supplier out; nothing after the daily table uses it.
     ``one_record_per_day=True`` is a layout hint, not a change of result: for feeds that already
-    hold about one record per product and day it clusters by product once, and the roll-up and
-    all later per-product steps share that single shuffle.
+    hold about one record per product and day it skips the first of the two shuffles.
     """
     records = typed(raw).where(F.col("product").isNotNull() & F.col("date").isNotNull())
-    if one_record_per_day:
-        records = records.repartition("product")
-    days = records.groupBy("product", "date").agg(
-        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("units_sold"),
-        *[_last_known(name) for name in CARRIED],
-    )
-    sold, cost, price = F.col("units_sold"), F.col("unit_cost"), F.col("selling_price")
-    by_date = Window.partitionBy("product").orderBy("date")
-    return (
-        days.withColumns({
-            "daily_revenue": sold * price,
-            "daily_profit": sold * (price - cost),
-            "inventory_value": F.col("inventory") * cost,
-            "opening_inventory": F.lag("inventory").over(by_date),
-            "sales_velocity": sold,
-        })
-        .withColumns({
-            "inventory_change": F.col("inventory") - F.col("opening_inventory"),
-            "profit_margin": F.coalesce(
-                margin(F.col("daily_profit"), F.col("daily_revenue")), F.lit(0.0)),
-        })
-        .select("product", "date", "category", "inventory", "units_sold", "unit_cost",
-                "selling_price", "supplier", "lead_time_days", "daily_revenue", "daily_profit",
-                "inventory_value", "opening_inventory", "inventory_change", "sales_velocity",
-                "profit_margin")
+    labels = LABELS if supplier else LABELS[:1]
+    days = _rolled_up(records, labels, one_record_per_day)
+    derived = staged(
+        days,
+        {
+            "daily_revenue": "units_sold * selling_price",
+            "daily_profit": "units_sold * (selling_price - unit_cost)",
+            "inventory_value": "inventory * unit_cost",
+            "opening_inventory": "lag(inventory) over (partition by product order by date)",
+            "sales_velocity": "units_sold",
+        },
+        {
+            "inventory_change": "inventory - opening_inventory",
+            "profit_margin": f"coalesce({margin('daily_profit', 'daily_revenue')}, 0D)",
+        },
     )
+    return derived.select(
+        "product", "date", *labels, "inventory", "units_sold", "unit_cost", "selling_price",
+        "lead_time_days", "daily_revenue", "daily_profit", "inventory_value",
+        "opening_inventory", "inventory_change", "sales_velocity", "profit_margin")
 
 
 def matches(name: Column, search: str, literal: bool = False) -> Column:

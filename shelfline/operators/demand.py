@@ -8,13 +8,11 @@ few columns pays for those only: Catalyst drops unused aggregates and windows.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline import messages
-from shelfline.functions.guards import holds, ratio
+from shelfline.functions.guards import holds, number, quoted, ratio, staged
 from shelfline.params import DEFAULTS, Params
 
 WEEKDAY_COLUMNS = [f"weekday_{k}" for k in range(7)]
@@ -30,190 +28,166 @@ PATTERN_COLUMNS = ["weeks_observed", "weekdays_observed", "months_observed",
                    "drop_weekday", "peak_month", "drop_month", "seasonal_deviation"]
 STATE_COLUMNS = ["category", "current_inventory", "unit_cost", "selling_price", "lead_time_days"]
 
+# One window order for everything, so that all of it shares a sort.
+SO_FAR = "(partition by product order by date rows between unbounded preceding and current row)"
+WHOLE = ("(partition by product order by date "
+         "rows between unbounded preceding and unbounded following)")
+
 
 def annotate(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Daily rows plus time index, quartiles, MAD, fences and an outlier flag.
 
     The flag is NULL where detection is unavailable and false for rows without demand.
     """
-    sold = F.col("units_sold")
-    product = Window.partitionBy("product")
-    by_date = product.orderBy("date")
-    so_far = by_date.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The time index counts observations: calendar gaps and missing demand do not advance it.
-    rows = (
-        daily.withColumn("t", F.count(sold).over(so_far) - 1)
-        .withColumns({
-            "observed": F.count(sold).over(product),
-            "quartiles": F.percentile(sold, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            .over(product),
-        })
-        .withColumns({
-            "q1": F.col("quartiles")[0],
-            "median": F.col("quartiles")[1],
-            "q3": F.col("quartiles")[2],
-        })
-        .withColumn("robust", (F.col("q3") == F.col("q1"))
-                    | (F.col("observed") < params.min_points_for_fences))
+    factor = number(params.tukey_factor)
+    distance = ratio(f"{number(params.mad_scale)} * deviation", "mad")
+    return staged(
+        daily,
+        {
+            # The index counts observations: calendar gaps and missing demand do not advance it.
+            "t": f"count(units_sold) over {SO_FAR} - 1",
+            "observed": f"count(units_sold) over {WHOLE}",
+            "quartiles": f"percentile(units_sold, array(0.25D, 0.5D, 0.75D)) over {WHOLE}",
+        },
+        {"q1": "quartiles[0]", "median": "quartiles[1]", "q3": "quartiles[2]"},
         # Only products on the robust path need the second quantile.
-        .withColumn("deviation", F.when(F.col("robust"), F.abs(sold - F.col("median"))))
-        .withColumn("mad", F.percentile("deviation", F.lit(0.5)).over(product))
-    )
-    spread = F.col("q3") - F.col("q1")
-    enough = F.col("observed") >= 2
-    return (
-        rows.withColumn("outlier_method",
-                        F.when(enough & ~F.col("robust"), "IQR")
-                        .when(enough & (F.col("mad") > 0), "MAD"))
-        .withColumns({
-            "lower_fence": F.when(F.col("outlier_method") == "IQR",
-                                  F.col("q1") - params.tukey_factor * spread),
-            "upper_fence": F.when(F.col("outlier_method") == "IQR",
-                                  F.col("q3") + params.tukey_factor * spread),
-        })
-        .withColumn(
-            "is_outlier",
-            F.when(F.col("outlier_method") == "IQR",
-                   holds((sold < F.col("lower_fence")) | (sold > F.col("upper_fence"))))
-            .when(F.col("outlier_method") == "MAD",
-                  holds(ratio(params.mad_scale * F.col("deviation"), F.col("mad"))
-                        > params.mad_cut)))
-        .drop("quartiles", "robust", "deviation")
-    )
-
-
-def demand_profile(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """One row per product: statistics, trend, outliers, seasonality and the latest state."""
-    rows = annotate(daily.withColumns({"weekday": F.weekday("date"), "month": F.month("date")}),
-                    params)
-    sold = F.col("units_sold")
-
-    def mean_where(condition: Column) -> Column:
-        return F.avg(F.when(condition, sold))
-
-    # Distinct ISO weeks as bits of one long: exact, and no second aggregation as in count distinct.
-    week_bit = F.expr("shiftleft(1L, weekofyear(date))")
-    # The latest row as a whole, so that a missing inventory on the last day stays missing.
-    latest = F.max_by(F.struct("category", "inventory", "unit_cost", "selling_price",
-                               "lead_time_days"), "date")
-    profile = rows.groupBy("product").agg(
-        F.count(sold).alias("observation_count"),
-        F.avg(sold).alias("mean_demand"),
-        F.max("median").alias("median_demand"),
-        F.var_samp(sold).alias("variance"),
-        F.min(sold).alias("min_demand"),
-        F.max(sold).alias("max_demand"),
-        F.count_if(sold == 0).alias("zero_demand_days"),
-        F.regr_slope(sold, F.col("t")).alias("slope"),
-        F.regr_intercept(sold, F.col("t")).alias("intercept"),
-        F.max("q1").alias("q1"),
-        F.max("q3").alias("q3"),
-        F.max("mad").alias("mad"),
-        F.max("lower_fence").alias("lower_fence"),
-        F.max("upper_fence").alias("upper_fence"),
-        F.count_if("is_outlier").alias("outlier_count"),
-        F.bit_count(F.bit_or(F.when(sold.isNotNull(), week_bit))).alias("weeks_observed"),
-        *[mean_where(F.col("weekday") == k).alias(f"weekday_{k}") for k in range(7)],
-        *[mean_where(F.col("month") == k).alias(f"month_{k}") for k in range(1, 13)],
-        latest.alias("latest"),
-    )
-    return _with_patterns(_with_labels(_with_state(profile), params), params)
-
-
-def _with_state(profile: DataFrame) -> DataFrame:
-    latest = F.col("latest")
-    return profile.withColumns({
-        "category": latest["category"],
-        "current_inventory": latest["inventory"],
-        "unit_cost": latest["unit_cost"],
-        "selling_price": latest["selling_price"],
-        "lead_time_days": latest["lead_time_days"],
-    }).drop("latest")
-
-
-def _with_labels(profile: DataFrame, params: Params) -> DataFrame:
-    n, mean, sd, cv = (F.col(c) for c in ("observation_count", "mean_demand", "std_dev", "cv"))
-    strength, trend = F.col("trend_strength"), F.col("trend")
-    constant = F.col("min_demand") == F.col("max_demand")
-    return (
-        profile.withColumns({
-            "std_dev": F.sqrt("variance"),
-            "slope": F.when(n >= 2, F.col("slope")),
-            "intercept": F.when(n >= 2, F.col("intercept")),
-        })
-        .withColumns({
-            "cv": ratio(sd, mean),
-            "trend_strength": F.when(mean != 0, F.col("slope") * (n - 1) / mean),
-            "outlier_method": F.when(F.col("upper_fence").isNotNull(), "IQR")
-            .when((n >= 2) & (F.col("mad") > 0), "MAD"),
-        })
-        .withColumns({
-            "volatility": F.when(n < 2, None)
-            .when(constant, "ZERO_VARIANCE")
-            .when(cv <= params.low_cv, "LOW")
-            .when(cv <= params.medium_cv, "MEDIUM")
-            .when(n >= 2, "HIGH"),
-            "trend": F.when(strength > params.trend_cut, "INCREASING")
-            .when(strength < -params.trend_cut, "DECREASING")
-            .when(strength.isNotNull(), "STABLE"),
-            "outlier_count": F.when(F.col("outlier_method").isNotNull(), F.col("outlier_count")),
-        })
-        .withColumn("trend_significant", trend != "STABLE")
-    )
-
-
-def _with_patterns(profile: DataFrame, params: Params) -> DataFrame:
-    mean = F.col("mean_demand")
+        {"deviation": f"case when q3 = q1 or observed < {params.min_points_for_fences} "
+                      f"then abs(units_sold - median) end"},
+        {"mad": f"percentile(deviation, 0.5D) over {WHOLE}"},
+        {"outlier_method": f"case when observed < 2 then null when q3 <> q1 "
+                           f"and observed >= {params.min_points_for_fences} then 'IQR' "
+                           f"when mad > 0 then 'MAD' end"},
+        {
+            "lower_fence": f"if(outlier_method = 'IQR', q1 - {factor} * (q3 - q1), null)",
+            "upper_fence": f"if(outlier_method = 'IQR', q3 + {factor} * (q3 - q1), null)",
+        },
+        {"is_outlier":
+            f"case outlier_method "
+            f"when 'IQR' then {holds('units_sold < lower_fence or units_sold > upper_fence')} "
+            f"when 'MAD' then {holds(f'{distance} > {number(params.mad_cut)}')} end"},
+    ).drop("quartiles", "deviation")
+
+
+def _folded(daily: DataFrame, params: Params) -> DataFrame:
+    """Annotated rows aggregated per product; the latest row supplies the current state.
+
+    The category of the latest row is a grouping key (it is constant per product) and every other
+    aggregate is a number, which keeps this a hash aggregate with generated code.
+    """
+    rows = staged(annotate(daily, params), {
+        "is_latest": "lead(date) over (partition by product order by date) is null",
+        "latest_category": f"last(category) over {WHOLE}",
+        "weekday": "weekday(date)",
+        "month": "month(date)",
+        # Distinct ISO weeks as bits of one long: exact, without a second aggregation.
+        "week_bit": "if(units_sold is null, null, shiftleft(1L, weekofyear(date)))",
+    })
+
+    def on_latest(name: str) -> str:
+        return f"max(if(is_latest, {name}, null))"
+
+    aggregates = {
+        "observation_count": "count(units_sold)",
+        "mean_demand": "avg(units_sold)",
+        "median_demand": "max(median)",
+        "variance": "var_samp(units_sold)",
+        "min_demand": "min(units_sold)",
+        "max_demand": "max(units_sold)",
+        "zero_demand_days": "count_if(units_sold = 0)",
+        "raw_slope": "regr_slope(units_sold, t)",
+        "raw_intercept": "regr_intercept(units_sold, t)",
+        "q1": "max(q1)",
+        "q3": "max(q3)",
+        "mad": "max(mad)",
+        "lower_fence": "max(lower_fence)",
+        "upper_fence": "max(upper_fence)",
+        "flagged": "count_if(is_outlier)",
+        "weeks": "bit_count(bit_or(week_bit))",
+        "current_inventory": on_latest("inventory"),
+        "unit_cost": on_latest("unit_cost"),
+        "selling_price": on_latest("selling_price"),
+        "lead_time_days": on_latest("lead_time_days"),
+        **{f"weekday_mean_{k}": f"avg(if(weekday = {k}, units_sold, null))" for k in range(7)},
+        **{f"month_mean_{k}": f"avg(if(month = {k}, units_sold, null))" for k in range(1, 13)},
+    }
+    return rows.groupBy("product", F.col("latest_category").alias("category")).agg(
+        *[F.expr(text).alias(name) for name, text in aggregates.items()])
+
+
+def _title_of(names: list[str], titles: list[str], extreme: str) -> str:
+    """Title of the first bucket that attains the extreme factor."""
+    best = f"{extreme}({', '.join(names)})"
+    arms = " ".join(f"when {name} then {quoted(title)}" for name, title in zip(names, titles))
+    return f"case {best} {arms} end"
+
+
+def _profile_with_buckets(daily: DataFrame, params: Params) -> DataFrame:
+    """The profile with one factor column per weekday and month."""
     buckets = WEEKDAY_COLUMNS + MONTH_COLUMNS
-
-    def present(names: list[str]) -> Column:
-        return reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in names))
-
-    def name_of(names: list[str], titles: list[str], extreme) -> Column:
-        """Title of the first bucket that attains the extreme factor."""
-        best = extreme(*names)
-        found = F
-        for name, title in zip(names, titles):
-            found = found.when(F.col(name) == best, title)
-        return found
-
-    weeks, months = F.col("weeks_observed"), F.col("months_observed")
-    return (
-        profile.withColumns({name: F.when(mean != 0, F.col(name) / mean) for name in buckets})
-        .withColumns({
-            "weekdays_observed": present(WEEKDAY_COLUMNS),
-            "months_observed": present(MONTH_COLUMNS),
-            "weeks_observed": F.when(mean != 0, weeks).otherwise(0),
-            "seasonal_deviation": F.greatest(*[F.abs(F.col(c) - 1.0) for c in buckets]),
-            "peak_weekday": name_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, F.greatest),
-            "drop_weekday": name_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, F.least),
-            "peak_month": name_of(MONTH_COLUMNS, messages.MONTHS, F.greatest),
-            "drop_month": name_of(MONTH_COLUMNS, messages.MONTHS, F.least),
-        })
-        .withColumns({
+    means = [f"weekday_mean_{k}" for k in range(7)] + [f"month_mean_{k}" for k in range(1, 13)]
+    weekdays = " + ".join(f"int({name} is not null)" for name in WEEKDAY_COLUMNS)
+    months = " + ".join(f"int({name} is not null)" for name in MONTH_COLUMNS)
+    cut = number(params.trend_cut)
+    return staged(
+        _folded(daily, params),
+        {
+            "std_dev": "sqrt(variance)",
+            "slope": "if(observation_count >= 2, raw_slope, null)",
+            "intercept": "if(observation_count >= 2, raw_intercept, null)",
+            "outlier_method": "case when observation_count < 2 then null "
+                              "when upper_fence is not null then 'IQR' when mad > 0 then 'MAD' end",
+            **{name: f"case when mean_demand <> 0 then {mean} / mean_demand end"
+               for name, mean in zip(buckets, means)},
+        },
+        {
+            "cv": ratio("std_dev", "mean_demand"),
+            "trend_strength": "case when mean_demand <> 0 "
+                              "then slope * (observation_count - 1) / mean_demand end",
+            "outlier_count": "if(outlier_method is null, null, flagged)",
+            "weekdays_observed": weekdays,
+            "months_observed": months,
+            "weeks_observed": "if(mean_demand <> 0, weeks, 0)",
+            "seasonal_deviation": f"greatest({', '.join(f'abs({name} - 1)' for name in buckets)})",
+            "peak_weekday": _title_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, "greatest"),
+            "drop_weekday": _title_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, "least"),
+            "peak_month": _title_of(MONTH_COLUMNS, messages.MONTHS, "greatest"),
+            "drop_month": _title_of(MONTH_COLUMNS, messages.MONTHS, "least"),
+        },
+        {
+            "volatility": f"case when observation_count < 2 then null "
+                          f"when min_demand = max_demand then 'ZERO_VARIANCE' "
+                          f"when cv <= {number(params.low_cv)} then 'LOW' "
+                          f"when cv <= {number(params.medium_cv)} then 'MEDIUM' else 'HIGH' end",
+            "trend": f"case when trend_strength > {cut} then 'INCREASING' "
+                     f"when trend_strength < -{cut} then 'DECREASING' "
+                     f"when trend_strength is not null then 'STABLE' end",
             "weekday_pattern_available":
-                (weeks >= params.min_weeks) & (F.col("weekdays_observed") >= 2),
-            "monthly_pattern_label": F.when(months >= params.annual_months, messages.ANNUAL_PATTERN)
-            .when(months >= 2, messages.OBSERVED_PATTERN),
-        })
-    )
+                f"weeks_observed >= {params.min_weeks} and weekdays_observed >= 2",
+            "monthly_pattern_label":
+                f"case when months_observed >= {params.annual_months} "
+                f"then {quoted(messages.ANNUAL_PATTERN)} "
+                f"when months_observed >= 2 then {quoted(messages.OBSERVED_PATTERN)} end",
+        },
+        {"trend_significant": "trend <> 'STABLE'"},
+    ).drop("raw_slope", "raw_intercept", "flagged", "weeks", *means)
 
 
-def _factor_map(names: list[str], first_key: int) -> Column:
+def _factor_map(names: list[str], first_key: int) -> str:
     """map<int,double> of the observed factors; NULL when there is none."""
-    empty = F.array().cast("array<struct<key:int,factor:double>>")
-    entries = F.concat(*[
-        F.when(F.col(name).isNotNull(),
-               F.array(F.struct(F.lit(key).alias("key"), F.col(name).alias("factor"))))
-        .otherwise(empty)
-        for key, name in enumerate(names, first_key)
-    ])
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
-
-
-def with_factor_maps(profile: DataFrame) -> DataFrame:
-    """Replace the 19 factor columns by two maps (0 = Monday, 1 = January)."""
-    return profile.withColumns({
+    none = "cast(array() as array<struct<key:int,factor:double>>)"
+    entries = ", ".join(
+        f"if({name} is null, {none}, array(named_struct('key', {key}, 'factor', {name})))"
+        for key, name in enumerate(names, first_key))
+    observed = f"coalesce({', '.join(names)}) is not null"
+    return f"case when {observed} then map_from_entries(concat({entries})) end"
+
+
+def demand_profile(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """One row per product: statistics, trend, outliers, seasonality and the latest state.
+
+    Factor maps use 0 = Monday and 1 = January.
+    """
+    return staged(_profile_with_buckets(daily, params), {
         "weekday_factors": _factor_map(WEEKDAY_COLUMNS, 0),
         "monthly_factors": _factor_map(MONTH_COLUMNS, 1),
     }).drop(*WEEKDAY_COLUMNS, *MONTH_COLUMNS)
@@ -243,10 +217,10 @@ def seasonality(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def _long_factors(daily: DataFrame, names: list[str], first_key: int, key: str,
                   params: Params) -> DataFrame:
-    pairs = [F.struct(F.lit(k).alias(key), F.col(name).alias("factor"))
-             for k, name in enumerate(names, first_key)]
-    return (demand_profile(daily, params)
-            .select("product", F.inline(F.array(*pairs)))
+    pairs = ", ".join(f"named_struct('{key}', {k}, 'factor', {name})"
+                      for k, name in enumerate(names, first_key))
+    return (_profile_with_buckets(daily, params)
+            .select("product", F.expr(f"inline(array({pairs}))"))
             .where("factor is not null"))
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.operators.demand import annotate
+from shelfline.functions.guards import number, staged
+from shelfline.operators.demand import WHOLE, annotate
 from shelfline.params import DEFAULTS, Params
 
-EVENTS = ["DEMAND_SPIKE", "STOCKOUT", "REPLENISHMENT", "SAFETY_STOCK_BREACH"]
-
 
 def demand_history(daily: DataFrame) -> DataFrame:
     return daily.select("product", "date",
@@ -28,28 +27,27 @@ def inventory_events(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     Safety stock is worked out with windows on the rows at hand instead of being joined from the
     profile, so the whole operator needs the clustering by product only.
     """
-    product = Window.partitionBy("product")
-    by_date = product.orderBy("date")
-    to_end = by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = annotate(daily.withColumn("units_sold", F.coalesce("units_sold", F.lit(0.0))), params)
-    rows = rows.withColumns({
-        "previous": F.coalesce(F.lag("inventory").over(by_date), F.lit(0.0)),
-        "sd": F.coalesce(F.stddev_samp("units_sold").over(product), F.lit(0.0)),
-        "lead": F.last("lead_time_days").over(to_end),
-    }).withColumn("safety_stock",
-                  F.when(F.col("lead") > 0,
-                         F.lit(params.z_score) * (F.col("sd") * F.sqrt("lead"))))
-    stock = F.col("inventory")
-    found = [
-        ("DEMAND_SPIKE", F.col("is_outlier"), F.col("units_sold")),
-        ("STOCKOUT", stock == 0, stock),
-        ("REPLENISHMENT", stock > F.col("previous") * params.replenishment_factor, stock),
-        ("SAFETY_STOCK_BREACH", stock < F.col("safety_stock"), stock),
-    ]
-    events = F.array(*[F.when(condition, F.struct(F.lit(name).alias("event_type"),
-                                                  value.alias("value")))
-                       for name, condition, value in found])
-    return (rows.select("product", "date", F.explode(events).alias("event"))
+    z = number(params.z_score)
+    rows = staged(
+        rows,
+        {
+            "previous": "coalesce(lag(inventory) over (partition by product order by date), 0D)",
+            "sd": f"coalesce(stddev_samp(units_sold) over {WHOLE}, 0D)",
+            "lead": f"last(lead_time_days) over {WHOLE}",
+        },
+        {"safety_stock": f"case when lead > 0 then {z} * (sd * sqrt(lead)) end"},
+    )
+    found = {
+        "DEMAND_SPIKE": ("is_outlier", "units_sold"),
+        "STOCKOUT": ("inventory = 0", "inventory"),
+        "REPLENISHMENT": (f"inventory > previous * {number(params.replenishment_factor)}",
+                          "inventory"),
+        "SAFETY_STOCK_BREACH": ("inventory < safety_stock", "inventory"),
+    }
+    events = ", ".join(f"if({condition}, named_struct('event_type', '{name}', 'value', {value}), null)"
+                       for name, (condition, value) in found.items())
+    return (rows.select("product", "date", F.expr(f"explode(array({events}))").alias("event"))
             .where("event is not null")
             .select("product", "date", "event.event_type", "event.value"))
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import notes
+from shelfline.functions.guards import number, staged
 from shelfline.functions.planning import Inputs, with_financial, with_planning
-from shelfline.functions.recommend import Context, evidence, with_recommendation
+from shelfline.functions.recommend import evidence, with_recommendation
 from shelfline.functions.risk import COMPONENTS, Signals, weights_used, with_risk
 from shelfline.operators.demand import (DEMAND_COLUMNS, OUTLIER_COLUMNS, PATTERN_COLUMNS,
-                                        STATE_COLUMNS, TREND_COLUMNS, demand_profile,
-                                        with_factor_maps)
+                                        STATE_COLUMNS, TREND_COLUMNS, demand_profile)
 from shelfline.params import DEFAULTS, Params
 
 PLANNING_COLUMNS = ["lead_time_demand", "lead_time_sd", "safety_stock", "reorder_point",
@@ -30,24 +30,36 @@ PLANNED = Inputs(mean="planning_mean", sd="planning_sd", cost="planning_cost", p
 
 def with_planning_inputs(profile: DataFrame) -> DataFrame:
     """Mean, deviation, cost and price with "unknown" read as zero, as planning wants them."""
-    return profile.withColumns({
-        "planning_mean": F.coalesce("mean_demand", F.lit(0.0)),
-        "planning_sd": F.coalesce("std_dev", F.lit(0.0)),
-        "planning_cost": F.coalesce("unit_cost", F.lit(0.0)),
-        "planning_price": F.coalesce("selling_price", F.lit(0.0)),
+    return staged(profile, {
+        "planning_mean": "coalesce(mean_demand, 0D)",
+        "planning_sd": "coalesce(std_dev, 0D)",
+        "planning_cost": "coalesce(unit_cost, 0D)",
+        "planning_price": "coalesce(selling_price, 0D)",
     })
 
 
 def product_profile(daily: DataFrame, params: Params = DEFAULTS,
-                    financial_reference: Column | None = None) -> DataFrame:
+                    financial_reference: float | None = None) -> DataFrame:
     """Statistics, planning, exposure, risk and recommendation per product."""
     planned = with_planning_inputs(demand_profile(daily, params))
     planned = with_financial(with_planning(planned, PLANNED, params), PLANNED, params)
     signals = Signals() if financial_reference is None else Signals(
-        financial_reference=financial_reference)
+        financial_reference=number(financial_reference))
     scored = with_risk(planned, signals, params=params)
-    return with_recommendation(scored, params=params).drop(
+    decided = with_recommendation(scored, params=params).drop(
         "planning_mean", "planning_sd", "planning_cost", "planning_price")
+    return settled(decided)
+
+
+def settled(profile: DataFrame) -> DataFrame:
+    """The same rows behind an aggregate on their key.
+
+    Formulas that build on each other are a chain of projections.  A filter on a derived column
+    would be rewritten in terms of the columns at the bottom of that chain, and its size multiplies
+    at every step.  Filters on the product still pass through to the scan and unused columns are
+    still pruned; the rows are clustered by product already, so nothing is shuffled.
+    """
+    return profile.dropDuplicates(["product"])
 
 
 def inventory_planning(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -60,20 +72,19 @@ def financial_metrics(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def product_risk(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return (product_profile(daily, params)
-            .withColumn("weights_used", weights_used(params))
+            .withColumn("weights_used", F.expr(weights_used(params)))
             .select("product", *RISK_COLUMNS, "weights_used"))
 
 
 def recommendations(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return (product_profile(daily, params)
-            .withColumn("evidence", F.struct(*evidence(Context())))
+            .withColumn("evidence", F.expr(evidence()))
             .select("product", "category", *RECOMMENDATION_COLUMNS, "evidence", "gate_warnings"))
 
 
 def nested(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """The profile as one struct per topic, for single-product views and exports."""
-    full = notes.with_notes(profile, params).withColumn("weights_used", weights_used(params))
-    full = with_factor_maps(full)
+    full = notes.with_notes(profile, params).withColumn("weights_used", F.expr(weights_used(params)))
 
     def group(name: str, columns: list[str]) -> Column:
         return F.struct(*columns).alias(name)
@@ -88,7 +99,7 @@ def nested(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         group("planning", [*PLANNING_COLUMNS, "planning_warnings"]),
         group("financial", [*FINANCIAL_COLUMNS, "financial_warnings"]),
         group("risk", [*RISK_COLUMNS, "weights_used", "risk_warnings"]),
-        F.struct(*RECOMMENDATION_COLUMNS, F.struct(*evidence(Context())).alias("evidence"),
+        F.struct(*RECOMMENDATION_COLUMNS, F.expr(evidence()).alias("evidence"),
                  "gate_warnings").alias("recommendation"),
     )
 

@@ -30,7 +30,7 @@ def _numbered(top: DataFrame, order: list[Column]) -> DataFrame:
 
 def top_priorities(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """The most urgent products that have a recommendation, with their leading reasons."""
-    order = [priority_rank(F.col("priority")), _score().desc(), F.col("product")]
+    order = [F.expr(priority_rank("priority")), _score().desc(), F.col("product")]
     top = (profile.where(F.col("action") != "UNAVAILABLE")
            .orderBy(*order).limit(params.top_k))
     return _numbered(top, order).select(
@@ -51,7 +51,7 @@ def _context() -> list[Column | str]:
     return [*CONTEXT_COLUMNS, F.col("action").alias("recommendation_action"),
             F.col("priority").alias("recommendation_priority"),
             F.col("reasons").alias("recommendation_reasons"),
-            F.struct(*evidence(Context())).alias("recommendation_evidence")]
+            F.expr(evidence()).alias("recommendation_evidence")]
 
 
 def product_explorer(profile: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def explore(explorer: DataFrame, search: str = "", risk_levels: Sequence[str] =
     orders = {
         "risk": [F.desc("risk_score"), F.col("product")],
         "product": [F.col("product")],
-        "priority": [priority_rank(F.col("priority")), F.desc("risk_score"), F.col("product")],
+        "priority": [F.expr(priority_rank("priority")), F.desc("risk_score"), F.col("product")],
     }
     return found.orderBy(*orders[sort_by])
 
@@ -114,14 +114,14 @@ def recommendations_in_context(profile: DataFrame, params: Params = DEFAULTS) ->
     base = profile.drop("coverage_ratio", "excess_ratio", "branch", "action", "priority",
                         "suggested_quantity", "reason_codes", "reasons", "gate_warnings")
     joined = base.join(levels, "category", "left").withColumn("overall_health_status", status)
-    context = Context(category=F.col("category"), category_level=F.col("category_risk_level"),
-                      overall_status=F.col("overall_health_status"))
-    wider = ["category_risk_level", "category_risk_score", "category_stockout_exposure",
-             "category_excess_inventory_value", "overall_health_status"]
+    context = Context(category="category", category_level="category_risk_level",
+                      overall_status="overall_health_status")
+    wider = ("category_risk_level", "category_risk_score", "category_stockout_exposure",
+             "category_excess_inventory_value", "overall_health_status")
     return with_recommendation(joined, context, params).select(
         "product", "category", "branch", "action", "priority", "suggested_quantity",
         "reason_codes", "reasons", *wider,
-        F.struct(*evidence(context), *wider).alias("evidence"))
+        F.expr(evidence(context, wider)).alias("evidence"))
 
 
 def brief_context(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -69,7 +69,7 @@ def _scored(groups: DataFrame, total_inventory_value: Column | float | None,
         })
         .withColumn("risk_score", F.when(listed & mix.isNotNull(),
                                          F.greatest(F.least(mix, F.lit(100.0)), F.lit(0.0))))
-        .withColumn("risk_level", risk_level(F.col("risk_score"), params))
+        .withColumn("risk_level", F.expr(risk_level("risk_score", params)))
     )
 
 
@@ -113,8 +113,8 @@ def overall_health(products: DataFrame, total_inventory_value: Column | float |
         F.sum("all_revenue_at_risk").alias("revenue_at_risk"),
         F.sum("all_profit_at_risk").alias("profit_at_risk"),
     )
-    status = band(F.col("overall_risk_score"), params.low_risk_max, params.medium_risk_max,
-                  ("HEALTHY", "ATTENTION", "CRITICAL"))
+    status = F.expr(band("overall_risk_score", params.low_risk_max, params.medium_risk_max,
+                         ("HEALTHY", "ATTENTION", "CRITICAL")))
     return totals.select(
         "overall_risk_score", status.alias("overall_health_status"), "total_products",
         "products_at_risk", "total_categories", "high_risk_categories",

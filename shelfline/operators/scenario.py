@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline import messages
+from shelfline.functions.guards import UNKNOWN, quoted, staged
 from shelfline.functions.planning import Inputs, with_financial, with_planning
 from shelfline.functions.recommend import Context, with_recommendation
 from shelfline.functions.risk import Signals, with_risk
@@ -21,7 +22,7 @@ COMPARED = ["lead_time_demand", "safety_stock", "reorder_point", "stockout_proba
 LABELS = ["risk_level", "action", "priority"]
 BASE, WHAT_IF = "base_", "scenario_"
 # A what-if run takes demand as given: 30 observations, no trend, no spread label, no seasons.
-ASSUMED_OBSERVATIONS = 30
+ASSUMED_OBSERVATIONS = "30"
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,14 @@ def listed_scenarios(scenarios: Iterable[tuple[str, float | None, float | None]]
 
 
 def _evaluated(df: DataFrame, inputs: Inputs, params: Params, prefix: str) -> DataFrame:
-    none = F.lit(None).cast("double")
     planned = with_planning(df, inputs, params, prefix)
     # The financial part always plans at the default service level.
     priced = with_financial(planned, inputs, Params(planning_horizon=params.planning_horizon), prefix)
-    scored = with_risk(priced, Signals(cv=none, trend=F.lit("STABLE"), strength=F.lit(0.0),
-                                       seasonal_deviation=none), inputs.inventory, params, prefix)
-    context = Context(mean=F.col(inputs.mean), cv=none, trend=F.lit("STABLE"), strength=F.lit(0.0),
-                      observations=F.lit(ASSUMED_OBSERVATIONS), inventory=F.col(inputs.inventory),
-                      lead=F.col(inputs.lead))
+    given = {"cv": UNKNOWN, "trend": "'STABLE'", "strength": "0D"}
+    scored = with_risk(priced, Signals(seasonal_deviation=UNKNOWN, **given), inputs.inventory,
+                       params, prefix)
+    context = Context(mean=inputs.mean, observations=ASSUMED_OBSERVATIONS,
+                      inventory=inputs.inventory, lead=inputs.lead, **given)
     return with_recommendation(scored, context, params, prefix)
 
 
@@ -80,41 +80,36 @@ def scenario_results(profile: DataFrame, scenarios: Grid | Column = Grid(),
     baseline = _evaluated(start, inputs, params, BASE).select(
         *start.columns, *[BASE + name for name in COMPARED + LABELS])
     what_if = scenarios.scenarios() if isinstance(scenarios, Grid) else scenarios
-    change, days = F.col("mean_demand_change_pct"), F.col("lead_time_days_change")
-    mean, lead = F.col(inputs.mean), F.col(inputs.lead)
-    expanded = baseline.select("*", F.inline(what_if)).withColumns({
-        "scenario_mean": mean * (1 + F.coalesce(change, F.lit(0.0))),
-        "scenario_lead": lead + F.coalesce(days, F.lit(0.0)),
-    })
-    no_lead = ~F.coalesce(lead > 0, F.lit(False))
-    expanded = expanded.withColumn(
-        "scenario_error",
-        F.when(F.col("scenario_mean") < 0, messages.NEGATIVE_SCENARIO_DEMAND)
-        .when(days.isNotNull() & no_lead, messages.NO_BASELINE_LEAD_TIME)
-        .when(days.isNotNull() & (F.col("scenario_lead") <= 0), messages.SCENARIO_LEAD_TIME))
+    days = "lead_time_days_change"
+    expanded = staged(
+        baseline.select("*", F.inline(what_if)),
+        {
+            "scenario_mean": "planning_mean * (1 + coalesce(mean_demand_change_pct, 0D))",
+            "scenario_lead": f"lead_time_days + coalesce({days}, 0D)",
+        },
+        {"scenario_error":
+            f"case when scenario_mean < 0 then {quoted(messages.NEGATIVE_SCENARIO_DEMAND)} "
+            f"when {days} is not null and not coalesce(lead_time_days > 0, false) "
+            f"then {quoted(messages.NO_BASELINE_LEAD_TIME)} "
+            f"when {days} is not null and scenario_lead <= 0 "
+            f"then {quoted(messages.SCENARIO_LEAD_TIME)} end"},
+    )
     changed = Inputs("scenario_mean", inputs.sd, inputs.inventory, "scenario_lead", inputs.cost,
                      inputs.price)
-    evaluated = _evaluated(expanded, changed, params, WHAT_IF)
-    valid = F.col("scenario_error").isNull()
-
-    def result(name: str) -> Column:
-        return F.when(valid, F.col(WHAT_IF + name)).alias(WHAT_IF + name)
 
-    def delta(name: str) -> Column:
-        return F.when(valid, F.col(WHAT_IF + name) - F.col(BASE + name)).alias(f"delta_{name}")
+    def if_valid(text: str) -> str:
+        return f"if(scenario_error is null, {text}, null)"
 
-    moved = F.when(valid, F.col("scenario_risk_score") - F.col("base_risk_score"))
+    evaluated = _evaluated(expanded, changed, params, WHAT_IF).withColumnsRenamed({
+        "planning_mean": "base_mean_demand", "lead_time_days": "base_lead_time_days",
+        "scenario_mean": "scenario_mean_demand", "scenario_lead": "scenario_lead_time_days"})
+    numbers = ["mean_demand", "lead_time_days", *COMPARED]
+    outcome = {f"{WHAT_IF}{name}": if_valid(f"{WHAT_IF}{name}") for name in numbers + LABELS}
+    outcome |= {f"delta_{name}": if_valid(f"{WHAT_IF}{name} - {BASE}{name}") for name in numbers}
+    moved = "sign(delta_risk_score)"
     return evaluated.select(
-        "product", "scenario_id", "mean_demand_change_pct", "lead_time_days_change",
-        "scenario_error",
-        mean.alias("base_mean_demand"), lead.alias("base_lead_time_days"),
-        *[BASE + name for name in COMPARED + LABELS],
-        F.when(valid, F.col("scenario_mean")).alias("scenario_mean_demand"),
-        F.when(valid, F.col("scenario_lead")).alias("scenario_lead_time_days"),
-        *[result(name) for name in COMPARED + LABELS],
-        F.when(valid, F.col("scenario_mean") - mean).alias("delta_mean_demand"),
-        F.when(valid, F.col("scenario_lead") - lead).alias("delta_lead_time_days"),
-        *[delta(name) for name in COMPARED],
-        F.when(moved > 0, "increases").when(moved < 0, "decreases")
-        .when(moved == 0, "unchanged").alias("direction"),
-    )
+        "product", "scenario_id", "mean_demand_change_pct", days, "scenario_error",
+        *[BASE + name for name in numbers + LABELS],
+        *[F.expr(text).alias(name) for name, text in outcome.items()],
+    ).withColumn("direction", F.expr(
+        f"case {moved} when 1 then 'increases' when -1 then 'decreases' when 0 then 'unchanged' end"))
