@@ -55,7 +55,7 @@ def _scored(groups: DataFrame, total_inventory_value: Column | float | None,
              if total_inventory_value is None or isinstance(total_inventory_value, (int, float))
              else total_inventory_value)
     listed = F.col("category").isNotNull() & (F.col("product_count") > 0)
-    share = F.when(total > 0, F.col("inventory_value") / total)
+    share = F.when(total > 0, F.col("inventory_value") / total * 100)
     high = F.col("high_risk_product_count") / F.col("product_count")
     mix = (params.category_average_weight * F.col("average_product_risk_score")
            + params.category_value_weight * F.col("value_score")
@@ -63,8 +63,7 @@ def _scored(groups: DataFrame, total_inventory_value: Column | float | None,
     return (
         groups.withColumns({
             "listed": listed,
-            "value_score": F.when(listed, F.coalesce(F.least(share * 100, F.lit(100.0)),
-                                                     F.lit(0.0))),
+            "value_score": F.when(listed, F.least(F.coalesce(share, F.lit(0.0)), F.lit(100.0))),
             "high_risk_score": F.when(listed, F.least(high * 200, F.lit(100.0))),
         })
         .withColumn("risk_score", F.when(listed & mix.isNotNull(),
