@@ -73,11 +73,18 @@ def filled(template: str, *values: str) -> str:
 
 
 def staged(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
-    """Add columns stage by stage.
+    """Add columns stage by stage, in one select.
 
-    A later stage reads the columns of an earlier one.  Keeping them as columns, instead of nesting
-    their formulas, is what lets Spark evaluate each of them once per row.
+    A later stage reads the columns of an earlier one as lateral aliases, which Spark turns into a
+    chain of projections.  Keeping results as columns, instead of nesting their formulas, is what
+    lets Spark evaluate each of them once per row.
     """
+    return df.selectExpr("*", *[f"{text} as {name}" for stage in stages
+                                for name, text in stage.items()])
+
+
+def windowed(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    """Like `staged` for window functions, which cannot read lateral aliases."""
     for stage in stages:
         df = df.withColumns({name: F.expr(text) for name, text in stage.items()})
     return df

@@ -51,6 +51,16 @@ def risk_level(score: str, params: Params = DEFAULTS) -> str:
 def with_risk(df: DataFrame, signals: Signals = Signals(), inventory: str = "current_inventory",
               params: Params = DEFAULTS, prefix: str = "") -> DataFrame:
     """Add component scores, weights, score and level.  Needs planning and financial columns."""
+    return with_risk_level(with_scores(df, signals, inventory, params, prefix), params, prefix)
+
+
+def with_risk_level(df: DataFrame, params: Params = DEFAULTS, prefix: str = "") -> DataFrame:
+    return staged(df, {f"{prefix}risk_level": risk_level(f"{prefix}risk_score", params)})
+
+
+def with_scores(df: DataFrame, signals: Signals = Signals(), inventory: str = "current_inventory",
+                params: Params = DEFAULTS, prefix: str = "") -> DataFrame:
+    """The numeric part of `with_risk`."""
     p = prefix
     reference = signals.financial_reference
     total = f"{p}available_weight_sum"
@@ -72,7 +82,6 @@ def with_risk(df: DataFrame, signals: Signals = Signals(), inventory: str = "cur
         },
         {total: available},
         {f"{p}risk_score": f"case when {total} > 0 then least(greatest({share}, 0D), 100D) end"},
-        {f"{p}risk_level": risk_level(f"{p}risk_score", params)},
     )
 
 

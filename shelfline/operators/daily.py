@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.guards import staged
+from shelfline.functions.guards import staged, windowed
 from shelfline.functions.planning import margin
 from shelfline.schema import typed
 
@@ -65,12 +65,12 @@ def daily_table(raw: DataFrame, *, supplier: bool = True,
     labels = LABELS if supplier else LABELS[:1]
     days = _rolled_up(records, labels, one_record_per_day)
     derived = staged(
-        days,
+        windowed(days, {"opening_inventory":
+                        "lag(inventory) over (partition by product order by date)"}),
         {
             "daily_revenue": "units_sold * selling_price",
             "daily_profit": "units_sold * (selling_price - unit_cost)",
             "inventory_value": "inventory * unit_cost",
-            "opening_inventory": "lag(inventory) over (partition by product order by date)",
             "sales_velocity": "units_sold",
         },
         {

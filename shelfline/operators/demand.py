@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline import messages
-from shelfline.functions.guards import holds, number, quoted, ratio, staged
+from shelfline.functions.guards import holds, number, quoted, ratio, staged, windowed
 from shelfline.params import DEFAULTS, Params
 
 WEEKDAY_COLUMNS = [f"weekday_{k}" for k in range(7)]
@@ -41,7 +41,7 @@ def annotate(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """
     factor = number(params.tukey_factor)
     distance = ratio(f"{number(params.mad_scale)} * deviation", "mad")
-    return staged(
+    rows = windowed(
         daily,
         {
             # The index counts observations: calendar gaps and missing demand do not advance it.
@@ -54,6 +54,9 @@ def annotate(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         {"deviation": f"case when q3 = q1 or observed < {params.min_points_for_fences} "
                       f"then abs(units_sold - median) end"},
         {"mad": f"percentile(deviation, 0.5D) over {WHOLE}"},
+    )
+    return staged(
+        rows,
         {"outlier_method": f"case when observed < 2 then null when q3 <> q1 "
                            f"and observed >= {params.min_points_for_fences} then 'IQR' "
                            f"when mad > 0 then 'MAD' end"},
@@ -74,7 +77,7 @@ def _folded(daily: DataFrame, params: Params) -> DataFrame:
     The category of the latest row is a grouping key (it is constant per product) and every other
     aggregate is a number, which keeps this a hash aggregate with generated code.
     """
-    rows = staged(annotate(daily, params), {
+    rows = windowed(annotate(daily, params), {
         "is_latest": "lead(date) over (partition by product order by date) is null",
         "latest_category": f"last(category) over {WHOLE}",
         "weekday": "weekday(date)",
@@ -121,12 +124,10 @@ def _title_of(names: list[str], titles: list[str], extreme: str) -> str:
     return f"case {best} {arms} end"
 
 
-def _profile_with_buckets(daily: DataFrame, params: Params) -> DataFrame:
-    """The profile with one factor column per weekday and month."""
+def profile_numbers(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The numeric profile with one factor column per weekday and month, and the trend label."""
     buckets = WEEKDAY_COLUMNS + MONTH_COLUMNS
     means = [f"weekday_mean_{k}" for k in range(7)] + [f"month_mean_{k}" for k in range(1, 13)]
-    weekdays = " + ".join(f"int({name} is not null)" for name in WEEKDAY_COLUMNS)
-    months = " + ".join(f"int({name} is not null)" for name in MONTH_COLUMNS)
     cut = number(params.trend_cut)
     return staged(
         _folded(daily, params),
@@ -134,8 +135,7 @@ def _profile_with_buckets(daily: DataFrame, params: Params) -> DataFrame:
             "std_dev": "sqrt(variance)",
             "slope": "if(observation_count >= 2, raw_slope, null)",
             "intercept": "if(observation_count >= 2, raw_intercept, null)",
-            "outlier_method": "case when observation_count < 2 then null "
-                              "when upper_fence is not null then 'IQR' when mad > 0 then 'MAD' end",
+            "weeks_observed": "if(mean_demand <> 0, weeks, 0)",
             **{name: f"case when mean_demand <> 0 then {mean} / mean_demand end"
                for name, mean in zip(buckets, means)},
         },
@@ -143,24 +143,37 @@ def _profile_with_buckets(daily: DataFrame, params: Params) -> DataFrame:
             "cv": ratio("std_dev", "mean_demand"),
             "trend_strength": "case when mean_demand <> 0 "
                               "then slope * (observation_count - 1) / mean_demand end",
-            "outlier_count": "if(outlier_method is null, null, flagged)",
+            "seasonal_deviation": f"greatest({', '.join(f'abs({name} - 1)' for name in buckets)})",
+        },
+        {"trend": f"case when trend_strength > {cut} then 'INCREASING' "
+                  f"when trend_strength < -{cut} then 'DECREASING' "
+                  f"when trend_strength is not null then 'STABLE' end"},
+    ).drop("raw_slope", "raw_intercept", "weeks", *means)
+
+
+def with_labels(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Names and flags read off the numeric profile."""
+    weekdays = " + ".join(f"int({name} is not null)" for name in WEEKDAY_COLUMNS)
+    months = " + ".join(f"int({name} is not null)" for name in MONTH_COLUMNS)
+    return staged(
+        profile,
+        {
+            "volatility": f"case when observation_count < 2 then null "
+                          f"when min_demand = max_demand then 'ZERO_VARIANCE' "
+                          f"when cv <= {number(params.low_cv)} then 'LOW' "
+                          f"when cv <= {number(params.medium_cv)} then 'MEDIUM' else 'HIGH' end",
+            "trend_significant": "trend <> 'STABLE'",
+            "outlier_method": "case when observation_count < 2 then null "
+                              "when upper_fence is not null then 'IQR' when mad > 0 then 'MAD' end",
             "weekdays_observed": weekdays,
             "months_observed": months,
-            "weeks_observed": "if(mean_demand <> 0, weeks, 0)",
-            "seasonal_deviation": f"greatest({', '.join(f'abs({name} - 1)' for name in buckets)})",
             "peak_weekday": _title_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, "greatest"),
             "drop_weekday": _title_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, "least"),
             "peak_month": _title_of(MONTH_COLUMNS, messages.MONTHS, "greatest"),
             "drop_month": _title_of(MONTH_COLUMNS, messages.MONTHS, "least"),
         },
         {
-            "volatility": f"case when observation_count < 2 then null "
-                          f"when min_demand = max_demand then 'ZERO_VARIANCE' "
-                          f"when cv <= {number(params.low_cv)} then 'LOW' "
-                          f"when cv <= {number(params.medium_cv)} then 'MEDIUM' else 'HIGH' end",
-            "trend": f"case when trend_strength > {cut} then 'INCREASING' "
-                     f"when trend_strength < -{cut} then 'DECREASING' "
-                     f"when trend_strength is not null then 'STABLE' end",
+            "outlier_count": "if(outlier_method is null, null, flagged)",
             "weekday_pattern_available":
                 f"weeks_observed >= {params.min_weeks} and weekdays_observed >= 2",
             "monthly_pattern_label":
@@ -168,8 +181,7 @@ def _profile_with_buckets(daily: DataFrame, params: Params) -> DataFrame:
                 f"then {quoted(messages.ANNUAL_PATTERN)} "
                 f"when months_observed >= 2 then {quoted(messages.OBSERVED_PATTERN)} end",
         },
-        {"trend_significant": "trend <> 'STABLE'"},
-    ).drop("raw_slope", "raw_intercept", "flagged", "weeks", *means)
+    ).drop("flagged")
 
 
 def _factor_map(names: list[str], first_key: int) -> str:
@@ -187,7 +199,12 @@ def demand_profile(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
     Factor maps use 0 = Monday and 1 = January.
     """
-    return staged(_profile_with_buckets(daily, params), {
+    return with_factor_maps(with_labels(profile_numbers(daily, params), params))
+
+
+def with_factor_maps(profile: DataFrame) -> DataFrame:
+    """Two maps in place of the columns per weekday and month."""
+    return staged(profile, {
         "weekday_factors": _factor_map(WEEKDAY_COLUMNS, 0),
         "monthly_factors": _factor_map(MONTH_COLUMNS, 1),
     }).drop(*WEEKDAY_COLUMNS, *MONTH_COLUMNS)
@@ -219,7 +236,7 @@ def _long_factors(daily: DataFrame, names: list[str], first_key: int, key: str,
                   params: Params) -> DataFrame:
     pairs = ", ".join(f"named_struct('{key}', {k}, 'factor', {name})"
                       for k, name in enumerate(names, first_key))
-    return (_profile_with_buckets(daily, params)
+    return (profile_numbers(daily, params)
             .select("product", F.expr(f"inline(array({pairs}))"))
             .where("factor is not null"))
 

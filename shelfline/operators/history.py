@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.guards import number, staged
+from shelfline.functions.guards import number, windowed
 from shelfline.operators.demand import WHOLE, annotate
 from shelfline.params import DEFAULTS, Params
 
@@ -29,7 +29,7 @@ def inventory_events(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """
     rows = annotate(daily.withColumn("units_sold", F.coalesce("units_sold", F.lit(0.0))), params)
     z = number(params.z_score)
-    rows = staged(
+    rows = windowed(
         rows,
         {
             "previous": "coalesce(lag(inventory) over (partition by product order by date), 0D)",

@@ -9,9 +9,11 @@ from shelfline.functions import notes
 from shelfline.functions.guards import number, staged
 from shelfline.functions.planning import Inputs, with_financial, with_planning
 from shelfline.functions.recommend import evidence, with_recommendation
-from shelfline.functions.risk import COMPONENTS, Signals, weights_used, with_risk
+from shelfline.functions.risk import (COMPONENTS, Signals, weights_used, with_risk_level,
+                                      with_scores)
 from shelfline.operators.demand import (DEMAND_COLUMNS, OUTLIER_COLUMNS, PATTERN_COLUMNS,
-                                        STATE_COLUMNS, TREND_COLUMNS, demand_profile)
+                                        STATE_COLUMNS, TREND_COLUMNS,
+                                        profile_numbers, with_factor_maps, with_labels)
 from shelfline.params import DEFAULTS, Params
 
 PLANNING_COLUMNS = ["lead_time_demand", "lead_time_sd", "safety_stock", "reorder_point",
@@ -41,25 +43,28 @@ def with_planning_inputs(profile: DataFrame) -> DataFrame:
 def product_profile(daily: DataFrame, params: Params = DEFAULTS,
                     financial_reference: float | None = None) -> DataFrame:
     """Statistics, planning, exposure, risk and recommendation per product."""
-    planned = with_planning_inputs(demand_profile(daily, params))
+    planned = with_planning_inputs(profile_numbers(daily, params))
     planned = with_financial(with_planning(planned, PLANNED, params), PLANNED, params)
     signals = Signals() if financial_reference is None else Signals(
         financial_reference=number(financial_reference))
-    scored = with_risk(planned, signals, params=params)
-    decided = with_recommendation(scored, params=params).drop(
+    scored = with_scores(planned, signals, params=params).drop(
         "planning_mean", "planning_sd", "planning_cost", "planning_price")
-    return settled(decided)
+    labelled = with_labels(with_risk_level(settled(scored), params), params)
+    return with_factor_maps(with_recommendation(labelled, params=params))
 
 
-def settled(profile: DataFrame) -> DataFrame:
+def settled(scored: DataFrame) -> DataFrame:
     """The same rows behind an aggregate on their key.
 
     Formulas that build on each other are a chain of projections.  A filter on a derived column
     would be rewritten in terms of the columns at the bottom of that chain, and its size multiplies
-    at every step.  Filters on the product still pass through to the scan and unused columns are
-    still pruned; the rows are clustered by product already, so nothing is shuffled.
+    at every step; here that stops at the numbers below.  Filters on the product still pass through
+    to the scan and unused columns are still pruned.  The few texts are grouping keys, so the
+    aggregate hashes; the rows are clustered by product already, so nothing is shuffled.
     """
-    return profile.dropDuplicates(["product"])
+    kinds = dict(scored.dtypes)
+    keys = [name for name, kind in kinds.items() if kind == "string"]
+    return scored.groupBy(*keys).agg(*[F.max(name).alias(name) for name in kinds if name not in keys])
 
 
 def inventory_planning(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
