@@ -15,9 +15,8 @@ from pyspark.sql import SparkSession
 
 from shelfline.plans import catalog
 
-HEADLINE = ["reorder_report", "recommendations", "recommendation_reasons", "validation_report",
-            "daily_processed", "demand_stats", "outlier_rows", "seasonality_summary",
-            "category_risk", "overall_health", "top_priorities", "product_explorer",
+HEADLINE = ["reorder_report", "recommendations", "validation_report", "daily_processed",
+            "demand_stats", "outlier_rows", "category_risk", "overall_health", "top_priorities",
             "recommendations_enriched", "inventory_events", "scenario_results"]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,24 +32,32 @@ class Grid:
     demand_percent: Sequence[int] = tuple(range(-50, 101))
     lead_days: Sequence[int] = tuple(range(-5, 15))
 
-    def scenarios(self) -> Column:
-        percents = F.array(*[F.lit(int(v)) for v in self.demand_percent])
-        days = F.array(*[F.lit(int(v)) for v in self.lead_days])
-        return F.flatten(F.transform(percents, lambda pct: F.transform(days, lambda d: F.struct(
-            F.concat(F.lit("d"), pct.cast("string"), F.lit("_l"), d.cast("string"))
-            .alias("scenario_id"),
-            (pct / F.lit(100)).cast("double").alias("mean_demand_change_pct"),
-            d.cast("double").alias("lead_time_days_change"),
-        ))))
+    def expand(self, df: DataFrame) -> DataFrame:
+        """Every row under every combination; both lists are constants of the plan."""
+        def repeated(values: Sequence[int], name: str) -> Column:
+            return F.explode(F.array(*[F.lit(int(v)) for v in values])).alias(name)
 
+        pairs = df.select("*", repeated(self.demand_percent, "percent"))
+        pairs = pairs.select("*", repeated(self.lead_days, "days"))
+        return staged(pairs, {
+            "scenario_id": "concat('d', percent, '_l', days)",
+            "mean_demand_change_pct": "percent / 100D",
+            "lead_time_days_change": "double(days)",
+        }).drop("percent", "days")
 
-def listed_scenarios(scenarios: Iterable[tuple[str, float | None, float | None]]) -> Column:
+
+@dataclass(frozen=True)
+class Scenarios:
     """Scenarios given one by one: (id, relative demand change, lead-time change in days)."""
-    return F.array(*[F.struct(
-        F.lit(name).alias("scenario_id"),
-        F.lit(change).cast("double").alias("mean_demand_change_pct"),
-        F.lit(days).cast("double").alias("lead_time_days_change"),
-    ) for name, change, days in scenarios])
+
+    listed: Sequence[tuple[str, float | None, float | None]]
+
+    def expand(self, df: DataFrame) -> DataFrame:
+        return df.select("*", F.inline(F.array(*[F.struct(
+            F.lit(name).alias("scenario_id"),
+            F.lit(change).cast("double").alias("mean_demand_change_pct"),
+            F.lit(days).cast("double").alias("lead_time_days_change"),
+        ) for name, change, days in self.listed])))
 
 
 def _evaluated(df: DataFrame, inputs: Inputs, params: Params, prefix: str) -> DataFrame:
@@ -64,7 +72,7 @@ def _evaluated(df: DataFrame, inputs: Inputs, params: Params, prefix: str) -> Da
     return with_recommendation(scored, context, params, prefix)
 
 
-def scenario_results(profile: DataFrame, scenarios: Grid | Column = Grid(),
+def scenario_results(profile: DataFrame, scenarios: Grid | Scenarios = Grid(),
                      params: Params = DEFAULTS) -> DataFrame:
     """Baseline, scenario and deltas for every product under every scenario.
 
@@ -79,10 +87,9 @@ def scenario_results(profile: DataFrame, scenarios: Grid | Column = Grid(),
         "product", inputs.mean, inputs.sd, inputs.inventory, inputs.lead, inputs.cost, inputs.price)
     baseline = _evaluated(start, inputs, params, BASE).select(
         *start.columns, *[BASE + name for name in COMPARED + LABELS])
-    what_if = scenarios.scenarios() if isinstance(scenarios, Grid) else scenarios
     days = "lead_time_days_change"
     expanded = staged(
-        baseline.select("*", F.inline(what_if)),
+        scenarios.expand(baseline),
         {
             "scenario_mean": "planning_mean * (1 + coalesce(mean_demand_change_pct, 0D))",
             "scenario_lead": f"lead_time_days + coalesce({days}, 0D)",

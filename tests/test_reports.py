@@ -22,7 +22,7 @@ def base(spark):
 
 @pytest.fixture(scope="module")
 def runs(base):
-    what_if = scenario.listed_scenarios([
+    what_if = scenario.Scenarios([
         ("same", 0.0, 0.0), ("demand", 0.2, None), ("lead", None, 3.0), ("both", 0.2, 3.0),
         ("negative", -1.5, None), ("too_short", None, -10.0)])
     return {r.scenario_id: r for r in scenario.scenario_results(base, what_if).collect()}
@@ -57,7 +57,7 @@ def test_impossible_scenarios_keep_their_row(runs):
 def test_baseline_without_lead_time(base):
     row = scenario.scenario_results(base.selectExpr(
         "product", "mean_demand", "std_dev", "current_inventory", "cast(null as double) lead_time_days",
-        "unit_cost", "selling_price"), scenario.listed_scenarios([("x", 0.1, 1.0)])).first()
+        "unit_cost", "selling_price"), scenario.Scenarios([("x", 0.1, 1.0)])).first()
     assert "Baseline lead_time_days must be positive" in row.scenario_error
 
 
