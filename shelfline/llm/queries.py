@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe
+from shelfline.llm import bpe, tokencount
 from shelfline.llm.common import table
 
 
@@ -16,9 +16,15 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens of every document."""
+    return tokencount.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op6_token_counts": op6_token_counts,
     }
 
 
