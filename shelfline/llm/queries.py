@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, tokencount
+from shelfline.llm import bpe, packing, tokencount
 from shelfline.llm.common import table
 
 
@@ -21,9 +21,15 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op10_packing": op10_packing,
         "op6_token_counts": op6_token_counts,
     }
 
