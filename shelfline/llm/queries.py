@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, packing, tokencount
+from shelfline.llm import bpe, packing, simhash, tokencount
 from shelfline.llm.common import table
 
 
@@ -26,9 +26,15 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
         "op6_token_counts": op6_token_counts,
     }
