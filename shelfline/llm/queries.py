@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, packing, simhash, tokencount
+from shelfline.llm import bpe, packing, simhash, suffix, tokencount
 from shelfline.llm.common import table
 
 
@@ -31,9 +31,15 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    return suffix.removal_digest(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
         "op6_token_counts": op6_token_counts,
