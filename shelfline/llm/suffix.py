@@ -24,6 +24,7 @@ any other, so such rows shorten no document. Texts shorter than the window stay
 from __future__ import annotations
 
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ WINDOW = 50
 GRAM = 20
 #: Bytes of text in a part, on average, and string starts looked at together within it.
 PART_BYTES, BLOCK = 8 << 20, 1 << 19
+#: Bytes before an anchor, or the rest of the window behind it, in which texts must agree to meet.
+LEFT = 15
 #: A null key.
 LAST = np.iinfo(np.int64).max
 LOW = np.uint64((1 << 48) - 1)
@@ -121,8 +124,9 @@ class Fragments:
         close = np.concatenate(((anchor[1:] != anchor[:-1]) | ~inside[1:], [True])) & inside
         last = np.flatnonzero(close)
         anchor = anchor[first]
-        bucket = ((hashes[anchor] >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-        name = (bucket << np.uint64(48)) | (hashes[anchor] & LOW)
+        spread = mixed(hashes[anchor])  # anchors are those that hash low
+        bucket = ((spread >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+        name = (bucket << np.uint64(48)) | (spread & LOW)
         if wanted is not None:
             if not len(wanted):
                 at = np.empty(0, np.int64)
@@ -172,16 +176,24 @@ def from_six_bytes(packed: bytes, bucket: int) -> np.ndarray:
     return wide.view("<u8").ravel() | np.uint64(bucket << 48)
 
 
-def shared_strings(texts: list[bytes], keys: list[int]) -> list[list[int]]:
-    """For each text the smallest key that each of its strings has in any of the texts."""
+def shared_strings(texts: list[bytes], anchors: list[int], keys: list[int]) -> list[list[int]]:
+    """For each text the smallest key that each of its strings has in any of the texts.
+
+    All texts are alike from their anchors on for at least the hashed bytes, and no string starts behind an anchor. So what
+    they have in common from there on is one symbol of the text that is sorted.
+    """
     found = [[key] * (len(x) - WINDOW + 1) for x, key in zip(texts, keys, strict=True)]
+    common = len(commonprefix([x[a:] for x, a in zip(texts, anchors, strict=True)]))
     symbols: list[int] = []
     owner: list[tuple[int, int]] = []
     count = len(texts)
-    for n, x in enumerate(texts):
-        symbols += [b + count for b in x]
+    for n, (x, anchor) in enumerate(zip(texts, anchors, strict=True)):
+        symbols += [b + count for b in x[:anchor]]
+        symbols.append(count + 256)
+        symbols += [b + count for b in x[anchor + common:]]
         symbols.append(count - 1 - n)  # a different end for each text, the last one's is the smallest symbol
-        owner += [(n, p) for p in range(len(x) + 1)]
+        owner += [(n, p) for p in range(anchor + 1)]
+        owner += [(n, WINDOW)] * (len(x) - anchor - common + 1)
     run: list[tuple[int, int]] = []
     least, string = 0, b""
     for place in suffix_array(symbols):
@@ -203,6 +215,36 @@ def shared_strings(texts: list[bytes], keys: list[int]) -> list[list[int]]:
     return found
 
 
+def least_keys(texts: list[bytes], anchors: list[int], keys: list[int]) -> list[list[int]]:
+    """What shared_strings gives, for texts that agree in little else than the anchor.
+
+    A string starts at least LEFT bytes before its anchor or reaches at least WINDOW - LEFT + 1 bytes from its anchor on. So only
+    texts meet that agree in the LEFT bytes before the anchor, with their strings of the first kind, or in the
+    WINDOW - LEFT bytes from the anchor on, with the others. Pieces that are equal meet as one.
+    """
+    found = [[key] * (len(x) - WINDOW + 1) for x, key in zip(texts, keys, strict=True)]
+    meet: dict[tuple[bool, bytes], dict[tuple[bytes, int], list[tuple[int, int]]]] = {}
+    for n, (x, a) in enumerate(zip(texts, anchors, strict=True)):
+        if a >= LEFT:
+            piece = x[:a - LEFT + WINDOW], a - LEFT
+            meet.setdefault((True, x[a - LEFT:a]), {}).setdefault(piece, []).append((n, 0))
+        if len(x) - WINDOW > a - LEFT:
+            begin = max(0, a - LEFT + 1)
+            piece = x[begin:], a - begin
+            meet.setdefault((False, x[a:a + WINDOW - LEFT]), {}).setdefault(piece, []).append((n, begin))
+    for pieces in meet.values():
+        least = [min(keys[n] for n, _ in held) for held in pieces.values()]
+        if len(pieces) == 1:
+            (text, _), = pieces
+            results = [least * (len(text) - WINDOW + 1)]
+        else:
+            results = shared_strings([x for x, _ in pieces], [a for _, a in pieces], least)
+        for held, result in zip(pieces.values(), results):
+            for n, begin in held:
+                found[n][begin:begin + len(result)] = result
+    return found
+
+
 def send_anchors(buckets: int):
     def work(table: pa.Table) -> pa.Table:
         data, ends, _ = part_data(table)
@@ -240,14 +282,14 @@ def wanted_names(table: pa.Table) -> np.ndarray:
         from_six_bytes(x["names"], x["bucket"]) for x in table.to_pylist()]))
 
 
-SENT = "bucket int, part int, names binary, texts binary, keys binary, sizes binary, content binary"
+SENT = "bucket int, part int, names binary, texts binary, keys binary, sizes binary, anchors binary, content binary"
 FOUND = "part int, bucket int, texts binary, runs binary, lengths binary, least binary"
 
 
 def send_fragments(buckets: int):
     def work(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        empty = {n: [] for n in ("bucket", "part", "names", "texts", "keys", "sizes", "content")}
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        empty = {n: [] for n in ("bucket", "part", "names", "texts", "keys", "sizes", "anchors", "content")}
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         if docs.num_rows:
             data, ends, key = part_data(docs)
             own = Fragments(data, ends, buckets, wanted_names(replies))
@@ -260,7 +302,9 @@ def send_fragments(buckets: int):
                 at = order[b:e]
                 content, sizes = own.bytes_of(at)
                 for name, value in zip(empty, (n, part, own.name[at].tobytes(), own.text[at].tobytes(), keys[at].tobytes(),
-                                               sizes.astype("<u2").tobytes(), content.tobytes())):
+                                               sizes.astype("<u2").tobytes(),
+                                               (own.anchor[at] - own.first[at]).astype(np.uint8).tobytes(),
+                                               content.tobytes())):
                     empty[name].append(value)
         return pa.table({n: pa.array(x, kind) for (n, x), kind in zip(empty.items(), kinds)})
     return work
@@ -274,6 +318,7 @@ def sort_fragments(table: pa.Table) -> pa.Table:
     content = b"".join(x["content"] for x in rows)
     name, text, key = np.concatenate(names), np.concatenate(texts), np.concatenate(keys)
     size = np.concatenate(sizes).astype(np.int64)
+    anchor = np.concatenate(read("anchors", np.uint8))
     begin = np.cumsum(size) - size
     order = np.lexsort((key, text, name))
     first = order[groups_of(text[order])]  # each different fragment with its smallest key
@@ -286,7 +331,7 @@ def sort_fragments(table: pa.Table) -> pa.Table:
             found[int(text[n])] = [(int(size[n]) - WINDOW + 1, int(key[n]))]
             continue
         strings = [content[begin[n]:begin[n] + size[n]] for n in some]
-        for n, least in zip(some, shared_strings(strings, [int(key[n]) for n in some])):
+        for n, least in zip(some, least_keys(strings, anchor[some].tolist(), key[some].tolist())):
             runs: list[tuple[int, int]] = []
             for k in least:
                 if runs and runs[-1][1] == k:
