@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, packing, simhash, suffix, tokencount
+from shelfline.llm import bpe, langid, packing, simhash, suffix, tokencount
 from shelfline.llm.common import table
 
 
@@ -36,10 +36,16 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.removal_digest(table(spark, folder, "documents"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return langid.languages(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_language": op5_language,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
         "op6_token_counts": op6_token_counts,
