@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, langid, packing, simhash, suffix, tokencount
+from shelfline.llm import bpe, langid, packing, simhash, suffix, tokencount, warc
 from shelfline.llm.common import table
 
 
@@ -41,9 +41,15 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(table(spark, folder, "documents"))
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_warc": op2_warc,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language": op5_language,
         "op9_simhash": op9_simhash,
@@ -52,5 +58,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2 = """
+with p as (
+    select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n,
+           sha256(coalesce(html, '')) as digest
+    from pages),
+f as (select digest, min(page_id) as first_id from p where n >= 100 group by digest)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest,
+       case when p.page_id > f.first_id then 'revisit' else 'response' end as record_type,
+       case when p.page_id > f.first_id then f.first_id end as refers_to
+from p left join f on p.digest = f.digest and p.n >= 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2}
