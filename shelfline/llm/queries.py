@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, langid, packing, simhash, suffix, tokencount, warc
+from shelfline.llm import bpe, langid, packing, quality, simhash, suffix, tokencount, warc
 from shelfline.llm.common import table
 
 
@@ -46,12 +46,18 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, folder, "pages"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The measurements of every document and whether it is kept."""
+    return quality.verdicts(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_warc": op2_warc,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language": op5_language,
+        "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
         "op6_token_counts": op6_token_counts,
