@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, langid, packing, quality, simhash, suffix, tokencount, warc
+from shelfline.llm import bpe, langid, packing, pii, quality, simhash, suffix, tokencount, warc
 from shelfline.llm.common import table
 
 
@@ -51,10 +51,16 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.findings(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_warc": op2_warc,
+        "op3_pii": op3_pii,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language": op5_language,
         "op8_quality": op8_quality,
