@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, langid, packing, pii, quality, simhash, suffix, tokencount, warc
+from shelfline.llm import bpe, ctph, langid, packing, pii, quality, simhash, suffix, tokencount, warc
 from shelfline.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.findings(table(spark, folder, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return ctph.with_next(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language": op5_language,
+        "op7_fingerprints": op7_fingerprints,
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
