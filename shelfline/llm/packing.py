@@ -19,19 +19,20 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import cut_lineage, map_slices, whole_text
+from shelfline.llm.common import chunks, cut_lineage, map_slices, whole_text
 
 CAPACITY = 4096
 #: The id that ends each document.
 END_ID = 2
 #: Words that a worker remembers; it forgets all of them beyond this.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Pieces that a block of one length holds on average at most, and the least number of blocks.
 BLOCK_ROWS, LEAST_BLOCKS = 1_000_000, 64
 
@@ -46,21 +47,49 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        known = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[n for word, n in known.items() if word.endswith("</w>")]] = True
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2].islower():  # letters and signs are split anyway
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and word.isalpha() and not word.islower():  # the vocabulary is in lower case
-            ids = self[word.lower()]
+        if base := self.base(word):
+            ids = self[base] + self[word[len(base):]] if len(base) < len(word) else self[base]
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
+    @staticmethod
+    def base(word: str) -> str | None:
+        """The same letters without a sign behind them, which is split off anyway, or in lower case, as the
+        vocabulary is."""
+        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2].islower():
+            return word[:-1]
+        if word.isascii() and word.isalpha() and not word.islower():
+            return word.lower()
+        return None
+
+    def learn(self, words: set[str]) -> None:
+        """Encode new words that consist of letters in one go; each ends with the only token that ends a word."""
+        fresh = set()
+        for word in words:
+            while base := self.base(word):
+                word = base
+            if word.isalpha() and word not in self:
+                fresh.add(word)
+        for some in chunks(fresh, 2000):
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(some):  # else some letter is not one in lower case: these are encoded one by one
+                data, ends = ids.tobytes(), (4 * cuts).tolist()
+                self.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends))))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        self.learn(set(filterfalse(self.__contains__, set().union(*split))))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -77,8 +106,8 @@ def windows(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "do
     def work(part: pa.RecordBatch) -> dict:
         source = word_ids(vocabulary)
         out: dict[str, list] = {"key": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
-        for k, x in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
-            ids = source.ids(x) + end
+        for k, ids in zip(part.column("key").to_pylist(), source.ids(part.column("text").to_pylist()), strict=True):
+            ids += end
             for start in range(0, len(ids), 4 * capacity):
                 piece = ids[start:start + 4 * capacity]
                 for name, value in zip(out, (k, start // 4, len(piece) // 4, len(ids) // 4, piece), strict=True):
