@@ -19,6 +19,7 @@ as an empty string in its checksum. Ties between languages go to the first by na
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import map_slices
+from shelfline.llm.common import map_slices, slices
 
 #: Labelled rows of a language that are learned from at most, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 1000
@@ -204,5 +205,17 @@ def identify(docs: DataFrame, automata: dict[str, Automaton], text: str = "text"
     return map_slices(rows, work, f"key {kind}, lang_pred string, score double", rows=1024).withColumnRenamed("key", key)
 
 
+def identified(docs: DataFrame, automata: dict[str, Automaton], text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is one of those learned; the others are rejected."""
+    model = Model(automata)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            found, _ = parser(model).judge(part.column(text).to_pylist())
+            yield part.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs)).select("doc_id", (checksum("doc_id") == 1).alias("held_out"), "lang_pred", "score")

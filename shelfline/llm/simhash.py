@@ -19,7 +19,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import cut_lineage, map_slices, whole_text
@@ -181,6 +181,17 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: i
         key, "bits", "component_id")
 
 
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of docs for each group, all columns as they are: the one with the smallest key, of rows with that key the
+    one with the smallest hash of its text, of rows that are alike in both any one. Null keys come last."""
+    row = F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
+    grouped = groups(docs.select(row.alias("_row"), F.col(text).alias("text")), key="_row")
+    first = grouped.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    chosen = docs.withColumn("_row", row).join(first, "_row", "left_semi")
+    alike = Window.partitionBy("_row").orderBy(F.lit(0))
+    return chosen.withColumn("_n", F.row_number().over(alike)).filter("_n = 1").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint in hex and the smallest doc_id of its group."""
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

@@ -28,7 +28,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import whole_text
@@ -351,7 +351,7 @@ def sort_fragments(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(x, kind) for (n, x), kind in zip(out.items(), kinds)})
 
 
-def drop_repeats(buckets: int, key_type: pa.DataType):
+def drop_repeats(buckets: int):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         data, ends, key = part_data(docs)
         rows = answers.to_pylist()
@@ -381,29 +381,39 @@ def drop_repeats(buckets: int, key_type: pa.DataType):
             kept.append(data[a:b][~own].tobytes())
             removed.append(int(own.sum()))
             spans.append(int(np.count_nonzero(np.diff(own.view(np.int8), prepend=np.int8(0)) == 1)))
-        return pa.table({"key": docs.column("key").cast(key_type), "n_bytes": pa.array(ends - starts, pa.int64()),
+        return pa.table({"row": docs.column("row"), "n_bytes": pa.array(ends - starts, pa.int64()),
                          "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
                          "kept": pa.array(kept, pa.binary())})
     return work
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", part_bytes: int = PART_BYTES) -> DataFrame:
-    """Columns key, n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (the remaining bytes).
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (),
+                    part_bytes: int = PART_BYTES) -> DataFrame:
+    """Columns key, those carried, n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (the rest).
 
     key must be an integer column.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = min(1 << 16, 1 + size // part_bytes)
-    dealt = docs.select(F.col(key).cast("bigint").alias("key"), whole_text(text).cast("binary").alias("data")).withColumn(
+    dealt = docs.select(F.struct(key, *carried).alias("row"), F.col(key).cast("bigint").alias("key"),
+                        whole_text(text).cast("binary").alias("data")).withColumn(
         "part", F.pmod(F.xxhash64("key", "data"), F.lit(parts)).cast("int"))
     by_part = dealt.groupBy("part")
     anchors = by_part.applyInArrow(send_anchors(parts), "bucket int, part int, names binary, several binary")
     replies = anchors.groupBy("bucket").applyInArrow(answer_anchors, "part int, bucket int, names binary")
     fragments = by_part.cogroup(replies.groupBy("part")).applyInArrow(send_fragments(parts), SENT)
     found = fragments.groupBy("bucket").applyInArrow(sort_fragments, FOUND)
+    row = dealt.schema["row"].dataType.simpleString()
     result = by_part.cogroup(found.groupBy("part")).applyInArrow(
-        drop_repeats(parts, pa.int64()), "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return result.withColumnRenamed("key", key)
+        drop_repeats(parts), f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return result.select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def as_text(kept: str = "kept") -> Column:
+    """The remaining bytes as text. A removed passage may begin or end within a character; its other bytes go too."""
+    replaced = F.make_valid_utf8(F.col(kept).cast("string"))
+    return F.when(F.is_valid_utf8(F.col(kept).cast("string")), F.col(kept).cast("string")).otherwise(
+        F.translate(replaced, "\ufffd", ""))
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:
