@@ -176,7 +176,7 @@ def to_buckets(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The buckets of sorted names, and where each begins and ends."""
     bucket = (names >> np.uint64(48)).astype(np.int64)
     starts = groups_of(bucket)
-    return bucket[starts], starts, np.append(starts[1:], len(names)).astype(np.int64)
+    return bucket[starts], starts, np.append(starts, len(names))[1:]
 
 
 def six_bytes(names: np.ndarray) -> bytes:
@@ -265,7 +265,7 @@ def send_anchors(buckets: int):
         order = np.argsort(own.name, kind="stable")
         names, docs = own.name[order], own.doc[order]
         starts = groups_of(names)
-        stops = np.append(starts[1:], len(names)).astype(np.int64)
+        stops = np.append(starts, len(names))[1:]
         several = docs[starts] != docs[stops - 1]
         names = names[starts]
         bucket, begin, end = to_buckets(names)
@@ -283,7 +283,7 @@ def answer_anchors(table: pa.Table) -> pa.Table:
     several = [np.unpackbits(np.frombuffer(x["several"], np.uint8), count=len(n)) for x, n in zip(rows, names)]
     every = np.sort(np.concatenate(names + [n[s == 1] for n, s in zip(names, several)]))
     starts = groups_of(every)
-    twice = every[starts[np.append(starts[1:], len(every)) - starts > 1]]
+    twice = every[starts[np.append(starts, len(every))[1:] - starts > 1]]
     kept = [np.intersect1d(n, twice, assume_unique=True) for n in names]
     return pa.table({"part": pa.array([x["part"] for x in rows], pa.int32()),
                      "bucket": pa.array([x["bucket"] for x in rows], pa.int32()),
@@ -337,7 +337,7 @@ def sort_fragments(table: pa.Table) -> pa.Table:
     first = order[groups_of(text[order])]  # each different fragment with its smallest key
     found: dict[int, list[tuple[int, int]]] = {}
     starts = groups_of(name[first])
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(first)]):
+    for a, b in zip(starts.tolist(), np.append(starts, len(first))[1:].tolist()):
         some = first[a:b].tolist()
         if len(some) == 1:
             n = some[0]
