@@ -92,7 +92,8 @@ def suffix_automaton(texts: list[bytes]) -> Automaton:
 
 class Parser:
     """All automata as one table. An entry is where a symbol leads from a state; where the match breaks, it is the
-    complement of the state that the symbol starts anew from."""
+    complement of the state that the symbol starts anew from. Each automaton has one more state, in which nothing is
+    matched: texts begin there, and symbols that the automaton lacks lead there."""
 
     def __init__(self, automata: dict[str, Automaton]) -> None:
         self.names = sorted(automata)
@@ -100,17 +101,18 @@ class Parser:
         self.width = len(used) + 1  # the last column is for symbols that no language has
         self.column = np.full(256, len(used), np.int32)
         self.column[used] = np.arange(len(used))
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for name in self.names:
             a = automata[name]
             moves = self.column[a.symbol]
-            root = np.full(self.width, base, np.int64)
+            void = base + a.states * self.width
+            root = np.full(self.width, void, np.int64)
             at_root = a.source == 0
             root[moves[at_root]] = base + a.target[at_root].astype(np.int64) * self.width
-            own = np.tile(~root, (a.states, 1))
+            own = np.tile(~root, (a.states + 1, 1))
             own[a.source, moves] = base + a.target.astype(np.int64) * self.width
             tables.append(own.ravel())
-            self.roots.append(base)
+            self.starts.append(void)
             base += own.size
         if base >= 1 << 31:
             raise ValueError("the automata are too large for one table; learn from fewer rows")
@@ -129,8 +131,8 @@ class Parser:
         length = np.minimum(BLOCK, np.repeat(sizes, count) - place * BLOCK)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        state = np.tile(np.array(self.roots, np.int32)[:, None], (1, len(owner)))
-        found = np.ones(state.shape, np.int32)  # the first phrase of each block
+        state = np.tile(np.array(self.starts, np.int32)[:, None], (1, len(owner)))
+        found = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")
         for step in range(int(length[0]) if len(length) else 0):
             n = active[step]
