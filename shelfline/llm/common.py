@@ -28,6 +28,11 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """The same rows, made once: a filter on them stays above, instead of being rewritten over all expressions below."""
+    return frame.select(F.inline(F.array(F.struct(*frame.columns))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: the one the cluster names, else one below the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"

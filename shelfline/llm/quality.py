@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import whole_text
+from shelfline.llm.common import settled, whole_text
 
 #: What separates words, what counts as a symbol, and the letters that shout.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -95,8 +95,8 @@ def measured(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     covered = F.transform("repeated", lambda x, n: F.least(
         F.lit(WINDOW_WORDS), F.coalesce(F.get(F.col("repeated"), n + 1) - x, F.lit(WINDOW_WORDS))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda sum_, x: sum_ + x)
-    return repeated.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).select(
-        F.col("key").alias(key), *MEASURES)
+    return settled(repeated.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).select(
+        F.col("key").alias(key), *MEASURES))
 
 
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
