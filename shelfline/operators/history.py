@@ -53,12 +53,12 @@ def inventory_events(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 def history_products(profile: DataFrame, categories: Sequence[str] = (),
-                     products: Sequence[str] = (), params: Params = DEFAULTS) -> DataFrame:
-    """The products a history view shows: those named, else the first few by name."""
+                     products: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """The products a history view may show: those named, else all, or the first `limit` by name."""
     label = F.coalesce("category", F.lit("Uncategorized"))
     listed = profile.select("product", label.alias("category"))
     if categories:
         listed = listed.where(F.col("category").isin(list(categories)))
     if products:
         return listed.where(F.col("product").isin(list(products)))
-    return listed.orderBy("product").limit(params.history_products)
+    return listed if limit is None else listed.orderBy("product").limit(limit)

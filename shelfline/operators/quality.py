@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline import messages as m
-from shelfline.schema import NUMERIC_COLUMNS, REQUIRED_COLUMNS, missing_columns, number
+from shelfline.schema import NUMERIC_COLUMNS, REQUIRED_COLUMNS, day, missing_columns, number, readable_number
 
 REPORT_SCHEMA = "check string, severity string, column string, n_rows long, message string"
+# Which columns the contract wants not negative, and which never missing.
 NON_NEGATIVE = ["inventory", "units_sold", "unit_cost", "selling_price"]
 NEVER_MISSING = ["product", "category", "supplier", "unit_cost", "selling_price", "lead_time_days"]
 TYPE_CHECKS = ["INVALID_DATE", "NOT_NUMERIC"]
@@ -29,11 +30,11 @@ def _unreadable(df: DataFrame, name: str) -> Column:
     if name == "date":
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return F.lit(False)
-        return F.col(name).isNotNull() & F.col(name).try_cast("date").isNull()
+        return F.col(name).isNotNull() & day(name).isNull()
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return F.lit(False)
     if isinstance(kind, T.StringType):
-        return F.col(name).isNotNull() & F.col(name).try_cast("double").isNull()
+        return F.col(name).isNotNull() & readable_number(name).isNull()
     return F.col(name).isNotNull()
 
 

@@ -24,26 +24,33 @@ def _score() -> Column:
 
 
 def _numbered(top: DataFrame, order: list[Column]) -> DataFrame:
-    """Position within an already limited set; the window sees at most top_k rows."""
+    """Position within an already limited set; the window sees at most k rows."""
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
-def top_priorities(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """The most urgent products that have a recommendation, with their leading reasons."""
+def top_priorities(profile: DataFrame, params: Params = DEFAULTS, k: int | None = None,
+                   reasons: int | None = None) -> DataFrame:
+    """The k most urgent products that have a recommendation, with all their reasons or the leading ones.
+
+    k is meant for a page of results: positions are numbered in one task.
+    """
     order = [F.expr(priority_rank("priority")), _score().desc(), F.col("product")]
     top = (profile.where(F.col("action") != "UNAVAILABLE")
-           .orderBy(*order).limit(params.top_k))
+           .orderBy(*order).limit(params.top_k if k is None else k))
+
+    def leading(name: str) -> Column:
+        return F.col(name) if reasons is None else F.slice(name, 1, reasons).alias(name)
+
     return _numbered(top, order).select(
         "position", "product", "category", "action", "priority", "risk_score", "risk_level",
         "suggested_quantity", "stockout_probability", "excess_units",
-        F.slice("reason_codes", 1, params.reasons_shown).alias("reason_codes"),
-        F.slice("reasons", 1, params.reasons_shown).alias("reasons"))
+        leading("reason_codes"), leading("reasons"))
 
 
-def top_risk(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """The riskiest products with the fields of a product context."""
+def top_risk(profile: DataFrame, params: Params = DEFAULTS, k: int | None = None) -> DataFrame:
+    """The k riskiest products with the fields of a product context."""
     order = [_score().desc(), F.col("product")]
-    top = profile.orderBy(*order).limit(params.top_k)
+    top = profile.orderBy(*order).limit(params.top_k if k is None else k)
     return _numbered(top, order).select("position", *_context())
 
 

@@ -55,8 +55,6 @@ class Params:
     replenishment_factor: float = 1.2
     # reports
     top_k: int = 10
-    reasons_shown: int = 4
-    history_products: int = 5
 
     @property
     def z_score(self) -> float:

@@ -166,7 +166,7 @@ def top_risk(spark, folder):
 
 def explorer_filtered(spark, folder):
     table = reports.product_explorer(profiles(spark, folder))
-    found = reports.explore(table, "^p0", ["MEDIUM", "HIGH"], ["PROMO", "SMALL", "STANDARD"],
+    found = reports.explore(table, "[02468]$", ["MEDIUM", "HIGH"], ["PROMO", "SMALL", "STANDARD"],
                             stockout=True, excess=False, sort_by="priority")
     return rounded(found)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The names of the input contract, in its order.
 NUMERIC_COLUMNS = ["inventory", "units_sold", "unit_cost", "selling_price", "lead_time_days"]
 REQUIRED_COLUMNS = ["date", "product", "category", "inventory", "units_sold", "unit_cost",
                     "selling_price", "supplier", "lead_time_days"]
@@ -24,9 +25,30 @@ INPUT_SCHEMA = T.StructType(
 TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in INPUT_SCHEMA.fields])
 
 
+# Texts that are a date, with a time of day or without, and texts that are a number.
+DATE_TEXT = (r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+             r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?\s*$")
+NUMBER_TEXT = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def _readable(name: str, pattern: str) -> Column:
+    """A column that is not text, or text of this form; the type is known when the plan is made."""
+    return (F.typeof(name) != "string") | F.col(name).cast("string").rlike(pattern)
+
+
+def day(name: str) -> Column:
+    """A date; text that is more or less than a date reads as NULL."""
+    return F.when(_readable(name, DATE_TEXT), F.col(name).try_cast("date"))
+
+
+def readable_number(name: str) -> Column:
+    """A double; text that is no decimal number reads as NULL."""
+    return F.when(_readable(name, NUMBER_TEXT), F.col(name).try_cast("double"))
+
+
 def number(name: str) -> Column:
     """A double, with text that is no number and NaN both read as NULL."""
-    value = F.col(name).try_cast("double")
+    value = readable_number(name)
     return F.when(~F.isnan(value), value)
 
 
@@ -47,7 +69,7 @@ def typed(df: DataFrame) -> DataFrame:
     order = next((F.col(name) for name in ("seq", "id") if name in df.columns),
                  F.monotonically_increasing_id())
     casts = {
-        "date": lambda name: F.col(name).try_cast("date"),
+        "date": day,
         "product": lambda name: F.col(name).cast("string"),
         "category": lambda name: F.col(name).cast("string"),
         "supplier": lambda name: F.col(name).cast("string"),

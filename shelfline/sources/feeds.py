@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfline.schema import INPUT_SCHEMA
 
@@ -13,16 +14,29 @@ MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_csv(spark: SparkSession, path: str, date_format: str | None = None) -> DataFrame:
+SURPLUS = "_surplus"
+
+
+def read_csv(spark: SparkSession, path: str, date_format: str | None = None,
+             multi_line: bool = False) -> DataFrame:
     """Header CSV as text columns, missing tokens as NULL, plus ``seq`` = position in the files.
 
     Values stay text so that `validation_report` can tell an unreadable value from a missing one;
     `schema.typed` turns them into numbers and dates.  Columns are taken by name from the header,
     extra ones are kept for the caller and dropped by the roll-up.
+
+    A doubled quote within quotes is one quote.  Quoted line breaks need ``multi_line``, which makes
+    each file one task.  A record with more fields than the header is an error when it is read; a
+    shorter one has NULLs at its end.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    reader = spark.read.options(header=True, mode="PERMISSIVE", escape='"', multiLine=multi_line)
+    names = reader.csv(path).columns
+    fields = [T.StructField(name, T.StringType()) for name in [*names, SURPLUS]]
+    wide = reader.schema(T.StructType(fields)).csv(path)
+    raw = wide.where(F.when(F.col(SURPLUS).isNull(), True).otherwise(
+        F.raise_error(F.lit("a CSV record has more fields than its header")).cast("boolean")))
     columns = [F.when(~F.col(f"`{name}`").isin(MISSING_TEXTS), F.col(f"`{name}`")).alias(name)
-               for name in raw.columns]
+               for name in names]
     place = F.struct(F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row"))

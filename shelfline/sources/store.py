@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="shelfline-")
+    """The folder named by ``spark.checkpoint.dir``, else one in the warehouse; all executors see both."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet and return the table read back.
 
     This cuts the lineage, survives the loss of executors, and lets every later report prune the
-    columns it does not need.
+    columns it does not need.  The files stay until the caller removes the folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/shelfline/{name}-{uuid.uuid4().hex}"

@@ -168,3 +168,29 @@ def test_csv_date_format_and_many_files(spark, tmp_path):
 
 def test_missing_sample_is_an_empty_feed(spark, tmp_path):
     assert daily_table(read_sample(spark, str(tmp_path / "absent.csv"))).count() == 0
+
+
+def test_only_whole_dates_and_numbers_are_read(spark):
+    from shelfline.schema import day, number
+
+    rows = [("2024-01-05",), ("2024-01-05 10:00:00",), ("2024-01-05 xyz",), ("2024-01",), ("2024-02-30",), ("5d",), ("7f",),
+            ("0x1p3",), ("5",), (" -1.5e2 ",), ("inf",), (".5",), ("",)]
+    df = spark.createDataFrame(rows, "value string")
+    found = [(r.value, str(r.d) if r.d else None, r.n) for r in df.select("value", day("value").alias("d"),
+                                                                          number("value").alias("n")).collect()]
+    assert [d for _, d, _ in found] == ["2024-01-05", "2024-01-05", *[None] * 11]
+    assert [n for _, _, n in found] == [None] * 8 + [5.0, -150.0, float("inf"), 0.5, None]
+
+
+def test_csv_quotes_and_field_counts(spark, tmp_path):
+    import pytest
+
+    from shelfline.sources.feeds import read_csv
+
+    path = tmp_path / "feed.csv"
+    path.write_text('product,category,units_sold\n"Mug ""L"", blue",a,1\nshort,b\n"two\nlines",c,3\n')
+    rows = [tuple(r)[:3] for r in read_csv(spark, str(path), multi_line=True).collect()]
+    assert rows == [('Mug "L", blue', "a", "1"), ("short", "b", None), ("two\nlines", "c", "3")]
+    path.write_text("product,category,units_sold\na,b,1,surplus\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, str(path)).collect()

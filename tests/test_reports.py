@@ -98,7 +98,9 @@ def test_top_priorities(profiles):
     rank = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3, "NONE": 4}
     keys = [(rank[r.priority], -r.risk_score, r.product) for r in top]
     assert keys == sorted(keys) and len(top) == 10
-    assert all(r.action != "UNAVAILABLE" and len(r.reasons) <= 4 for r in top)
+    assert all(r.action != "UNAVAILABLE" and len(r.reasons) == len(r.reason_codes) for r in top)
+    leading = reports.top_priorities(profiles, k=3, reasons=2).orderBy("position").collect()
+    assert [r.reasons for r in leading] == [r.reasons[:2] for r in top[:3]]
 
 
 def test_explorer(profiles):
@@ -156,7 +158,8 @@ def test_events(spark):
 
 def test_history(daily, profiles):
     assert history.demand_history(daily).count() == history.inventory_history(daily).count() == 420
-    assert [r.product for r in history.history_products(profiles).collect()] == [
+    assert [r.product for r in history.history_products(profiles, limit=5).collect()] == [
         f"p{k:02d}" for k in range(5)]
+    assert history.history_products(profiles).count() == profiles.count()
     chosen = history.history_products(profiles, ["Uncategorized"], ["p00", "p01"]).collect()
     assert [r.product for r in chosen] == ["p00"]

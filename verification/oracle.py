@@ -638,7 +638,7 @@ def statements() -> dict[str, str]:
             "product) as integer) as position, product, category, action, priority, "
             "round(risk, 6) as risk_score, level as risk_level, round(qty, 6) as "
             "suggested_quantity, round(prob, 6) as stockout_probability, "
-            "round(excess, 6) as excess_units, array_to_string(codes[1:4], ',') as reason_codes "
+            "round(excess, 6) as excess_units, array_to_string(codes, ',') as reason_codes "
             f"from (select *, {RANK} as place, {REASON_CODES.replace('{more}', '')} as codes "
             "from products where action <> 'UNAVAILABLE') "
             "order by place, coalesce(risk, 0) desc, product limit 10"),
@@ -650,7 +650,7 @@ def statements() -> dict[str, str]:
             "order by coalesce(risk, 0) desc, product limit 10"),
         "product_explorer": _query(TO_PRODUCTS, EXPLORER),
         "explorer_filtered": _query(
-            TO_PRODUCTS, f"select * from ({EXPLORER}) where regexp_matches(lower(product), '^p0') "
+            TO_PRODUCTS, f"select * from ({EXPLORER}) where regexp_matches(lower(product), '[02468]$') "
             "and risk_level in ('MEDIUM', 'HIGH') and category in ('PROMO', 'SMALL', 'STANDARD') "
             "and main_issue = 'Stockout risk' and main_issue <> 'Excess inventory'"),
         "category_risk": _query([*TO_PRODUCTS, CATEGORIES_ALONE], CATEGORY_SELECT),
@@ -675,7 +675,7 @@ def statements() -> dict[str, str]:
                                               "inventory from daily"),
         "history_products": _query(
             TO_DAILY + [STATS], "select product, coalesce(category, 'Uncategorized') as category "
-            "from latest order by product limit 5"),
+            "from latest"),
         "inventory_events": _query(
             [*TO_STATS, FLAGS, FACTORS, PRODUCTS], "\nunion all ".join(
                 f"select d.product, d.date, '{name}' as event_type, round(d.{value}, 6) as value "
