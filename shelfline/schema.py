@@ -57,16 +57,31 @@ def missing_columns(df: DataFrame) -> list[str]:
     return [name for name in REQUIRED_COLUMNS if name not in present]
 
 
+def _orders(df: DataFrame, name: str) -> bool:
+    return name in df.columns and not isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
+def _ordering(df: DataFrame, name: str) -> Column:
+    """The ordering column, with missing numbers before all others."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(F.col(name).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+    return F.col(name)
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Project onto the contract: typed columns plus ``seq``, everything else dropped.
 
     ``seq`` decides which row is "last" within one product and day.  It is taken from a
-    column ``seq``, else from ``id``, else from the position in the scan.
+    column ``seq``, else from ``id``, else from the position in the scan.  Text does not order rows
+    (``10`` would come before ``9``) and is passed over; a missing number comes first.
     """
     absent = missing_columns(df)
     if absent:
         raise ValueError(f"missing required columns: {absent}")
-    order = next((F.col(name) for name in ("seq", "id") if name in df.columns),
+    order = next((_ordering(df, name) for name in ("seq", "id") if _orders(df, name)),
                  F.monotonically_increasing_id())
     casts = {
         "date": day,

@@ -194,3 +194,17 @@ def test_csv_quotes_and_field_counts(spark, tmp_path):
     path.write_text("product,category,units_sold\na,b,1,surplus\n")
     with pytest.raises(Exception, match="more fields"):
         read_csv(spark, str(path)).collect()
+
+
+def test_text_does_not_order_and_missing_numbers_come_first(spark):
+    from shelfline.operators import daily
+
+    base = ("2024-01-01", "p", "c", "s", 1.0, 2.0, 3.0, 4.0)
+    columns = ("date string, product string, category string, supplier string, units_sold double, unit_cost double, "
+               "selling_price double, lead_time_days double, inventory double, ")
+    for kind, ids, last in (("string", ["9", "10"], 20.0), ("bigint", [10, 9], 10.0), ("bigint", [None, 9], 20.0),
+                            ("bigint", [None, None], None)):
+        rows = [(*base, inventory, n) for inventory, n in zip((10.0, 20.0), ids)]
+        found = daily.daily_table(spark.createDataFrame(rows, columns + f"id {kind}").coalesce(1)).first()
+        assert found.category == "c" and found.inventory is not None
+        assert last is None or found.inventory == last
