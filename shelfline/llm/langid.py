@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -101,22 +101,23 @@ class Parser:
         self.width = len(used) + 1  # the last column is for symbols that no language has
         self.column = np.full(256, len(used), np.int32)
         self.column[used] = np.arange(len(used))
-        tables, self.starts, base = [], [], 0
-        for name in self.names:
+        sizes = [(automata[n].states + 1) * self.width for n in self.names]
+        if sum(sizes) >= 1 << 31:
+            raise ValueError("the automata are too large for one table; learn from fewer rows")
+        self.table = np.empty(sum(sizes), np.int32)
+        self.starts, base = [], 0
+        for name, size in zip(self.names, sizes):
             a = automata[name]
             moves = self.column[a.symbol]
             void = base + a.states * self.width
-            root = np.full(self.width, void, np.int64)
+            root = np.full(self.width, void, np.int32)
             at_root = a.source == 0
-            root[moves[at_root]] = base + a.target[at_root].astype(np.int64) * self.width
-            own = np.tile(~root, (a.states + 1, 1))
-            own[a.source, moves] = base + a.target.astype(np.int64) * self.width
-            tables.append(own.ravel())
+            root[moves[at_root]] = base + a.target[at_root] * self.width
+            own = self.table[base:base + size].reshape(-1, self.width)  # filled in place: no second copy of the table
+            own[:] = ~root
+            own[a.source, moves] = base + a.target * self.width
             self.starts.append(void)
-            base += own.size
-        if base >= 1 << 31:
-            raise ValueError("the automata are too large for one table; learn from fewer rows")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
+            base += size
         self.bits = np.array([np.log2(max(2, automata[n].length)) for n in self.names])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -178,20 +179,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
 
 class Model:
-    """Automata with a name of their own, so that a worker turns them into a table once."""
+    """Automata that become a table at the first text of a task. The table goes when the task ends, as workers live on
+    and serve other operators."""
 
     def __init__(self, automata: dict[str, Automaton]) -> None:
-        self.automata, self.name = automata, uuid4().hex
-
-
-_tables: dict[str, Parser] = {}
-
+        self.automata = automata
 
-def parser(model: Model) -> Parser:
-    if model.name not in _tables:
-        _tables.clear()
-        _tables[model.name] = Parser(model.automata)
-    return _tables[model.name]
+    @cached_property
+    def parser(self) -> Parser:
+        return Parser(self.automata)
 
 
 def identify(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -200,7 +196,7 @@ def identify(docs: DataFrame, automata: dict[str, Automaton], text: str = "text"
     model = Model(automata)
 
     def work(part: pa.RecordBatch) -> dict:
-        languages, scores = parser(model).judge(part.column("text").to_pylist())
+        languages, scores = model.parser.judge(part.column("text").to_pylist())
         return {"key": part.column("key"), "lang_pred": languages, "score": scores}
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -213,7 +209,7 @@ def identified(docs: DataFrame, automata: dict[str, Automaton], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            found, _ = parser(model).judge(part.column(text).to_pylist())
+            found, _ = model.parser.judge(part.column(text).to_pylist())
             yield part.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
