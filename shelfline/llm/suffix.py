@@ -23,7 +23,9 @@ any other, so such rows shorten no document. Texts shorter than the window stay
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
+from itertools import groupby
 from os.path import commonprefix
 
 import numpy as np
@@ -335,30 +337,36 @@ def sort_fragments(table: pa.Table) -> pa.Table:
     begin = np.cumsum(size) - size
     order = np.lexsort((key, text, name))
     first = order[groups_of(text[order])]  # each different fragment with its smallest key
-    found: dict[int, list[tuple[int, int]]] = {}
     starts = groups_of(name[first])
-    for a, b in zip(starts.tolist(), np.append(starts, len(first))[1:].tolist()):
-        some = first[a:b].tolist()
-        if len(some) == 1:
-            n = some[0]
-            found[int(text[n])] = [(int(size[n]) - WINDOW + 1, int(key[n]))]
-            continue
-        strings = [content[begin[n]:begin[n] + size[n]] for n in some]
-        for n, least in zip(some, least_keys(strings, anchor[some].tolist(), key[some].tolist())):
-            runs: list[tuple[int, int]] = []
-            for k in least:
-                if runs and runs[-1][1] == k:
-                    runs[-1] = (runs[-1][0] + 1, k)
-                else:
-                    runs.append((1, k))
-            found[int(text[n])] = runs
+    stops = np.append(starts, len(first))[1:]
+    # Runs of all fragments one after another; most fragments are alone with their anchor and have one run.
+    runs, shared_lengths, shared_least = np.ones(len(first), np.int64), array("H"), array("q")
+    shared = np.zeros(len(first), bool)
+    several = stops - starts > 1
+    for a, b in zip(starts[several].tolist(), stops[several].tolist()):
+        some = first[a:b]
+        strings = [content[begin[n]:begin[n] + size[n]] for n in some.tolist()]
+        shared[a:b] = True
+        for n, least in enumerate(least_keys(strings, anchor[some].tolist(), key[some].tolist()), a):
+            same = [len(list(own)) for _, own in groupby(least)]
+            runs[n] = len(same)
+            shared_lengths.extend(same)
+            shared_least.extend(k for k, _ in groupby(least))
+    lengths = np.repeat(size[first] - WINDOW + 1, runs).astype("<u2")
+    leasts = np.repeat(key[first], runs).astype("<i8")
+    of_shared = np.repeat(shared, runs)
+    lengths[of_shared], leasts[of_shared] = shared_lengths, shared_least
+    run_start = np.cumsum(runs) - runs
+    by_text = np.argsort(text[first])
+    known = text[first][by_text]
     out: dict[str, list] = {n: [] for n in ("part", "bucket", "texts", "runs", "lengths", "least")}
     for row, own in zip(rows, texts):
         own = np.sort(own)
-        held = [found[n] for n in own.tolist()]
-        flat = [x for runs in held for x in runs]
-        for n, value in zip(out, (row["part"], row["bucket"], own.tobytes(), np.array([len(x) for x in held], "<u2").tobytes(),
-                                  np.array([x[0] for x in flat], "<u2").tobytes(), np.array([x[1] for x in flat], "<i8").tobytes())):
+        at = by_text[np.searchsorted(known, own)]
+        count = runs[at]
+        place = np.repeat(run_start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        for n, value in zip(out, (row["part"], row["bucket"], own.tobytes(), count.astype("<u2").tobytes(),
+                                  lengths[place].tobytes(), leasts[place].tobytes())):
             out[n].append(value)
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     return pa.table({n: pa.array(x, kind) for (n, x), kind in zip(out.items(), kinds)})
@@ -384,9 +392,9 @@ def drop_repeats(buckets: int):
             offset = before[place] - np.repeat(before[run_start[at]], count)
             taken = least[place] < np.repeat(mine, count)
             start = (np.repeat(first, count) + offset)[taken]
-            covered += np.bincount(start, minlength=len(covered)).astype(np.int32)
-            covered -= np.bincount(start + length[place][taken] + WINDOW - 1, minlength=len(covered)).astype(np.int32)
-        gone = np.cumsum(covered[:-1]) > 0
+            np.add.at(covered, start, 1)
+            np.subtract.at(covered, start + length[place][taken] + WINDOW - 1, 1)
+        gone = np.cumsum(covered, out=covered)[:-1] > 0
         starts = ends - np.diff(ends, prepend=0)
         kept, removed, spans = [], [], []
         for a, b in zip(starts.tolist(), ends.tolist()):
