@@ -15,6 +15,14 @@ from shelfline.params import DEFAULTS, Params
 PRIORITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "NONE"]
 UNRANKED = 99
 
+# The reasons that a rule itself gives, reported before all others.
+PRIMARY_REASONS = ["DATA_INCOMPLETE", "CONFLICT_STOCKOUT", "CONFLICT_EXCESS", "CONFLICT_MONITOR",
+                   "COVERAGE_BELOW_LEAD", "STOCKOUT_ELEVATED", "STOCKOUT_PRESENT", "VOLATILE_COVERED",
+                   "ZERO_DEMAND_EXCESS", "ZERO_DEMAND", "EXCESS_SIGNIFICANT", "EXCESS_PRESENT",
+                   "INCREASING_LOW_COVER", "DECREASING_HIGH_COVER", "RISK_HIGH", "RISK_MEDIUM",
+                   "LOW_COVER_BUFFER", "HEALTHY"]
+
+# The numbers behind a recommendation, in their order.
 EVIDENCE = ["stockout_probability", "days_remaining", "lead_time_demand", "reorder_point",
             "reorder_quantity", "target_stock", "excess_units", "excess_inventory_value",
             "revenue_at_risk", "profit_at_risk", "risk_level", "risk_score"]
@@ -114,10 +122,8 @@ def _reasons(context: Context, p: str) -> list[tuple[str, str, str]]:
         "STOCKOUT_ELEVATED": [percent(chance)],
         "EXCESS_SIGNIFICANT": [percent(f"{p}excess_ratio")],
     }
-    codes = list(messages.REASONS)
-    primary = [c for c in codes[:codes.index("REORDER_QTY")] if c != "DEMAND_INCREASING"]
     listed = [(f"{reason} = {quoted(code)}", code, say(code, *worded.get(code, [])))
-              for code in primary]
+              for code in PRIMARY_REASONS]
 
     def positive(name: str, code: str) -> tuple[str, str, str]:
         return f"{decided} and {p}{name} > 0", code, say(code, decimals(f"{p}{name}", 2))
