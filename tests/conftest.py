@@ -9,8 +9,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DAILY = ("product string, date date, category string, inventory double, units_sold double, "
-         "unit_cost double, selling_price double, lead_time_days double")
+from daily_rows import DAILY  # noqa: E402
 
 
 @pytest.fixture(scope="session")

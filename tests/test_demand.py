@@ -105,14 +105,14 @@ def test_monthly_pattern(series, by_product):
 
 
 def test_weeks_are_pooled_over_years(spark, by_product):
-    from conftest import DAILY
+    from daily_rows import DAILY
     rows = [("p", date(year, 1, 10), "A", 1.0, 5.0, 1.0, 2.0, 3.0) for year in range(2018, 2024)]
     weeks = by_product(demand_profile(spark.createDataFrame(rows, DAILY)))["p"]["weeks_observed"]
     assert weeks == len({date(y, 1, 10).isocalendar().week for y in range(2018, 2024)})
 
 
 def test_latest_state_is_not_carried_forward(spark, by_product):
-    from conftest import DAILY
+    from daily_rows import DAILY
     rows = [("p", date(2024, 1, 1), "A", 10.0, 1.0, 1.0, 2.0, 3.0),
             ("p", date(2024, 1, 2), "B", None, 2.0, 1.5, None, 4.0)]
     p = by_product(demand_profile(spark.createDataFrame(rows, DAILY)))["p"]

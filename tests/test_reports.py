@@ -70,7 +70,7 @@ def test_full_grid(base):
 
 @pytest.fixture(scope="module")
 def daily(spark):
-    from conftest import DAILY
+    from daily_rows import DAILY
     start = date(2024, 1, 1)
     rows = []
     for k in range(14):
@@ -143,7 +143,7 @@ def test_detail_of_one_product(profiles):
 
 
 def test_events(spark):
-    from conftest import DAILY
+    from daily_rows import DAILY
     stock = [10.0, 12.0, 12.1, 0.0, 5.0, None, 50.0]
     sold = [1.0, 2.0, 3.0, 100.0, 2.0, 4.0, 2.0]
     rows = [("p", date(2024, 1, 1 + i), "A", s, u, 1.0, 2.0, 4.0)
