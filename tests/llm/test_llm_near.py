@@ -166,7 +166,7 @@ def test_fingerprint_rows(tricky, pairs):
 
 
 def test_likeness_follows_content():
-    from conftest import prose
+    from llm_samples import prose
 
     for n in range(10):
         x, y = prose(100 + n, 400), prose(200 + n, 400)
