@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,19 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows from Parquet in the shared folder, for results that several later jobs read in part.
+
+    The files go with the session: the file system that holds them deletes them when the driver's JVM ends.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    frame.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
