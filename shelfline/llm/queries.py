@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import bpe, ctph, langid, packing, pii, quality, simhash, suffix, tokencount, warc
+from shelfline.llm import align, bpe, ctph, htmltext, langid, packing, phrases, pii, quality, simhash, suffix, tokencount, warc
 from shelfline.llm.common import table
 
 
@@ -61,6 +61,22 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return ctph.with_next(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tokenisations of every document, aligned."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignment_digest(table(spark, folder, "documents"), *paths)
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op13_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -72,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "op11_alignment": op11_alignment,
+        "op12_phrases": op12_phrases,
+        "op13_html": op13_html,
         "op6_token_counts": op6_token_counts,
     }
 

@@ -221,4 +221,4 @@ def test_registered():
     import __spark_entry__
 
     found = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(found) == 11
+    assert len(found) == 14
