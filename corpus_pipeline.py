@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import langid, packing, pii, similar, suffix
+from shelfline.llm import langid, packing, pii, simhash, suffix
 from shelfline.llm.common import shared_folder, table
 
 OTHERS = ("lang", "source", "n_chars")
@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words and a similarity of 0.8."""
-    return similar.representatives(docs)
+    """One document of each group whose SimHash fingerprints lie within the operator's distance."""
+    return simhash.representatives(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
