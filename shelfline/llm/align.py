@@ -180,7 +180,7 @@ def hot_threshold(counted: DataFrame, limit: int) -> int:
     """The least power of two that at most so many pairs reach; 1 if they all may be broadcast."""
     by_power = {r.power: r.pairs for r in counted.groupBy(
         (F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*").alias("pairs")).collect()}  # at most 63 rows
-    held, least = 0, 64
+    held, least = 0, 62  # no pair has so many links
     for power in sorted(by_power, reverse=True):
         held += by_power[power]
         if held > limit:
