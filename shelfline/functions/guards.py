@@ -32,6 +32,16 @@ def at_most_100(value: str) -> str:
     return f"if({value} > 100, 100D, {value})"
 
 
+def ended(value: str) -> str:
+    """The same value, where a stage of generated code ends.
+
+    Spark evaluates functions with a lambda outside whole-stage code, so what stands before and after
+    this column is compiled apart.  Formula families that build on each other end in one: fused, they
+    become methods of more than 8,000 bytecodes, which the JVM never compiles.
+    """
+    return f"transform(array({value}), x -> x)[0]"
+
+
 def holds(condition: str) -> str:
     """A condition with "unknown" read as false."""
     return f"coalesce({condition}, false)"
@@ -54,13 +64,38 @@ def band(score: str, low_max: float, medium_max: float, names: tuple[str, str, s
             f"when {score} is not null then {high} end")
 
 
-def decimals(value: str, places: int) -> str:
-    """Text with a fixed number of decimals, halves to even."""
-    return f"format_string('%.{places}f', bround({value}, {places}))"
-
+def fixed_texts(numbers: list[tuple[str, int]]) -> str:
+    """array<string> of numbers with a fixed number of decimals, rounded as the double that they are.
 
-def percent(value: str) -> str:
-    return f"concat({decimals(f'{value} * 100', 1)}, '%')"
+    2.675 lies a little below its name and reads 2.67, 0.125 lies in the middle and goes to the even
+    0.12.  The fraction is scaled by 10 or 100 (exactly representable), and what the product of doubles
+    loses is recovered exactly from the halves of its factor (Dekker's product), so that the middle is
+    told from its neighbours.  From 2^63 on, digits come from the shortest text of the double.
+    """
+    given = ", ".join(f"named_struct('x', {value}, 'places', {places}, 'scale', {10.0 ** places!r}D)"
+                      for value, places in numbers)
+    steps = [
+        # whole part and fraction, both exact
+        "named_struct('n', n, 'whole', if(abs(n.x) < 9.2e18D, floor(abs(n.x)), null), "
+        "'part', if(abs(n.x) < 9.2e18D, abs(n.x) - floor(abs(n.x)), null))",
+        # the scaled fraction, and the upper half of the fraction's digits
+        "named_struct('n', n.n, 'whole', n.whole, 'part', n.part, 'scaled', n.part * n.n.scale, "
+        "'upper', n.part * 134217729D - (n.part * 134217729D - n.part))",
+        # digits below the scaled fraction, its rest against one half, and what the product lost
+        "named_struct('n', n.n, 'whole', n.whole, 'digits', floor(n.scaled), "
+        "'rest', n.scaled - floor(n.scaled) - 0.5D, "
+        "'lost', (n.upper * n.n.scale - n.scaled) + (n.part - n.upper) * n.n.scale)",
+        "named_struct('n', n.n, 'whole', n.whole, 'digits', n.digits + "
+        "if(n.rest > 0 or n.rest = 0 and (n.lost > 0 or n.lost = 0 and n.digits % 2 = 1), 1, 0))",
+        "case when n.n.x is null then null when n.whole is null then format_string(concat('%.', n.n.places, 'f'), n.n.x) "
+        "else concat(if(startswith(string(n.n.x), '-'), '-', ''), "
+        "string(if(n.digits >= n.n.scale, n.whole + 1, n.whole)), '.', "
+        "lpad(string(if(n.digits >= n.n.scale, 0, n.digits)), n.n.places, '0')) end",
+    ]
+    text = f"array({given})"
+    for step in steps:
+        text = f"transform({text}, n -> {step})"
+    return text
 
 
 def filled(template: str, *values: str) -> str:
@@ -73,14 +108,14 @@ def filled(template: str, *values: str) -> str:
 
 
 def staged(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
-    """Add columns stage by stage, in one select.
+    """Add columns stage by stage; a later stage reads the columns of an earlier one.
 
-    A later stage reads the columns of an earlier one as lateral aliases, which Spark turns into a
-    chain of projections.  Keeping results as columns, instead of nesting their formulas, is what
-    lets Spark evaluate each of them once per row.
+    Keeping results as columns, instead of nesting their formulas, is what lets Spark evaluate each of
+    them once per row.
     """
-    return df.selectExpr("*", *[f"{text} as {name}" for stage in stages
-                                for name, text in stage.items()])
+    for stage in stages:
+        df = df.withColumns({name: F.expr(text) for name, text in stage.items()})
+    return df
 
 
 def windowed(df: DataFrame, *stages: dict[str, str]) -> DataFrame:

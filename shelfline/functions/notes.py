@@ -7,28 +7,55 @@ from pyspark.sql import functions as F
 
 from shelfline import messages as m
 from shelfline.functions.guards import filled, quoted, staged, texts
+from shelfline.functions.planning import Inputs
 from shelfline.params import DEFAULTS, Params
 
 STAGES = ["demand", "trend", "outlier", "pattern", "planning", "financial", "risk"]
 
 
+def _fixed(*pairs: tuple[str, str]) -> list[tuple[str, str]]:
+    return [(condition, quoted(text)) for condition, text in pairs]
+
+
+def planning_notes(inputs: Inputs = Inputs(), prefix: str = "") -> list[tuple[str, str]]:
+    """(condition, text expression) over the inputs and results of `with_planning`."""
+    lead = f"coalesce({inputs.lead} > 0, false)"
+    usable, stocked = f"{lead} and {inputs.sd} is not null", f"{inputs.inventory} is not null"
+    return _fixed(
+        (f"not {lead}", m.BAD_LEAD_TIME),
+        (f"{lead} and {inputs.sd} is null", m.NO_VARIABILITY),
+        (f"{usable} and not {stocked}", m.NO_INVENTORY_PLANNING),
+        (f"{usable} and {stocked} and not coalesce({inputs.mean} > 0, false)", m.ZERO_MEAN_COVER),
+        (f"{usable} and {stocked} and {prefix}lead_time_sd = 0", m.ZERO_VARIABILITY),
+    )
+
+
+def financial_notes(inputs: Inputs = Inputs(), prefix: str = "") -> list[tuple[str, str]]:
+    """(condition, text expression) over the inputs and results of `with_financial`; planning follows."""
+    own = [(f"{inputs.inventory} is null", m.NO_INVENTORY_FINANCIAL)]
+    if inputs.sold is not None:
+        own.insert(0, (f"{inputs.sold} > 0 and {prefix}daily_revenue <= 0", m.ZERO_REVENUE))
+    return [*_fixed(*own), *planning_notes(inputs, prefix)]
+
+
+def with_financial_notes(df: DataFrame, inputs: Inputs = Inputs(), prefix: str = "") -> DataFrame:
+    """Add the warnings of planning and exposure to rows that have the columns of both."""
+    return staged(df, {f"{prefix}planning_warnings": texts(planning_notes(inputs, prefix)),
+                       f"{prefix}financial_warnings": texts(financial_notes(inputs, prefix))})
+
+
 def _stage_notes(params: Params) -> dict[str, list[tuple[str, str]]]:
-    """(condition, text expression) per stage over the columns of a product profile."""
-    lead = "coalesce(lead_time_days > 0, false)"
+    """(condition, text expression) per stage over the columns of a product profile.
+
+    A profile plans a product without deviation as certain, so that planning has it.
+    """
     stocked = "current_inventory is not null"
+    inputs = Inputs(sd="coalesce(std_dev, 0D)")
     directional = "trend in ('INCREASING', 'DECREASING')"
     thresholds = "reorder_point is not null and target_stock is not null"
     patterned = "observation_count > 0 and mean_demand <> 0"
 
-    def fixed(*pairs: tuple[str, str]) -> list[tuple[str, str]]:
-        return [(condition, quoted(text)) for condition, text in pairs]
-
-    planning = fixed(
-        (f"not {lead}", m.BAD_LEAD_TIME),
-        (f"{lead} and not {stocked}", m.NO_INVENTORY_PLANNING),
-        (f"{lead} and {stocked} and not coalesce(mean_demand > 0, false)", m.ZERO_MEAN_COVER),
-        (f"{lead} and {stocked} and lead_time_sd = 0", m.ZERO_VARIABILITY),
-    )
+    fixed = _fixed
     return {
         "demand": fixed(
             ("observation_count = 0", m.NO_DEMAND),
@@ -52,8 +79,8 @@ def _stage_notes(params: Params) -> dict[str, list[tuple[str, str]]]:
              filled(m.SHORT_HISTORY, "cast(months_observed as string)")),
             *fixed((f"{patterned} and months_observed < 2", m.FEW_MONTHS)),
         ],
-        "planning": planning,
-        "financial": [*fixed((f"not {stocked}", m.NO_INVENTORY_FINANCIAL)), *planning],
+        "planning": planning_notes(inputs),
+        "financial": financial_notes(inputs),
         "risk": fixed(
             ("stockout_probability is null", m.NO_STOCKOUT_SCORE),
             ("cv is null", m.NO_VOLATILITY_SCORE),
@@ -71,9 +98,15 @@ def _stage_notes(params: Params) -> dict[str, list[tuple[str, str]]]:
 
 
 def with_notes(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Add one array of warning texts per stage to a product profile."""
-    return staged(profile, {f"{stage}_warnings": texts(found)
-                            for stage, found in _stage_notes(params).items()})
+    """Add one array of warning texts per stage to a product profile.
+
+    The arrays are filtered, not concatenated: that keeps so many texts out of the generated stages.
+    """
+    def given(notes: list[tuple[str, str]]) -> str:
+        listed = ", ".join(f"if({condition}, {text}, null)" for condition, text in notes)
+        return f"filter(array({listed}), x -> x is not null)"
+
+    return staged(profile, {f"{stage}_warnings": given(found) for stage, found in _stage_notes(params).items()})
 
 
 def product_warnings(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:

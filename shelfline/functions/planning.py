@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from shelfline.functions.guards import at_least_zero, number, ratio, staged
-from shelfline.functions.normal import normal_cdf
+from shelfline.functions.guards import at_least_zero, ended, number, ratio, staged
+from shelfline.functions.normal import normal_cdf, normal_quantile, working_columns
 from shelfline.params import DEFAULTS, Params
 
 
@@ -22,12 +22,24 @@ class Inputs:
     cost: str = "unit_cost"
     price: str = "selling_price"
     sold: str | None = None
+    level: str | None = None  # a service level for each row, instead of the one in the parameters
+
+
+def _z_score(inputs: Inputs, params: Params, prefix: str) -> str:
+    """The normal quantile of the service level: a constant of the plan, or a column of `with_planning`."""
+    return number(params.z_score) if inputs.level is None else f"{prefix}z_score"
 
 
 def with_planning(df: DataFrame, inputs: Inputs = Inputs(), params: Params = DEFAULTS,
                   prefix: str = "") -> DataFrame:
-    """Lead-time demand, safety stock, reorder point, cover, stockout probability, quantity."""
+    """Lead-time demand, safety stock, reorder point, cover, stockout probability, quantity.
+
+    With ``inputs.level``, also ``z_score``: the normal quantile of each row's service level.
+    """
     i, p = inputs, prefix
+    if i.level is not None:
+        z = _z_score(i, params, p)
+        df = staged(df, *normal_quantile(i.level, z)).drop(*working_columns(z))
     usable = f"{i.lead} > 0 and {i.sd} is not null"
     certain = f"{p}lead_time_sd = 0"
     return staged(
@@ -39,8 +51,8 @@ def with_planning(df: DataFrame, inputs: Inputs = Inputs(), params: Params = DEF
                                   f"then {i.inventory} / {i.mean} end",
         },
         {
-            f"{p}safety_stock": f"{number(params.z_score)} * {p}lead_time_sd",
-            f"{p}standing": ratio(f"{i.inventory} - {p}lead_time_demand", f"{p}lead_time_sd"),
+            f"{p}safety_stock": f"{_z_score(i, params, p)} * {p}lead_time_sd",
+            f"{p}standing": ended(ratio(f"{i.inventory} - {p}lead_time_demand", f"{p}lead_time_sd")),
         },
         {
             f"{p}reorder_point": f"{p}lead_time_demand + {p}safety_stock",
@@ -68,7 +80,7 @@ def with_financial(df: DataFrame, inputs: Inputs = Inputs(), params: Params = DE
             f"{p}capital_tied_up": f"{i.inventory} * {i.cost}",
             f"{p}shortage_units": at_least_zero(f"{p}lead_time_demand - {i.inventory}"),
             f"{p}target_stock": f"{i.mean} * {number(params.planning_horizon)} "
-                                f"+ {number(params.z_score)} * {p}lead_time_sd",
+                                f"+ {_z_score(i, params, p)} * {p}lead_time_sd",
         },
         {
             f"{p}revenue_at_risk": f"{p}shortage_units * {i.price}",

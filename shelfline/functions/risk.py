@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from shelfline.functions.guards import UNKNOWN, at_most_100, band, number, quoted, ratio, staged
+from shelfline.functions.guards import UNKNOWN, at_most_100, band, ended, number, quoted, ratio, staged
 from shelfline.params import DEFAULTS, Params
 
 COMPONENTS = ["stockout_exposure", "demand_volatility", "demand_trend", "excess_inventory",
@@ -80,7 +80,7 @@ def with_scores(df: DataFrame, signals: Signals = Signals(), inventory: str = "c
                 f"({ratio(f'{p}revenue_at_risk', reference)}) * 100"),
             f"{p}seasonality_score": at_most_100(f"{signals.seasonal_deviation} * 100"),
         },
-        {total: available},
+        {total: ended(available)},
         {f"{p}risk_score": f"case when {total} > 0 then least(greatest({share}, 0D), 100D) end"},
     )
 

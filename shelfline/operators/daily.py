@@ -20,46 +20,36 @@ def _seq_where_known(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.col("seq"))
 
 
-def _combined(records: DataFrame, labels: list[str]) -> DataFrame:
-    """Records of one product, day and set of labels as one row.
-
-    The labels are grouping keys here, which leaves numbers only in the aggregation buffers: Spark
-    can then combine rows on the map side in a hash table instead of sorting them first.
-    """
-    return records.groupBy("product", "date", *labels).agg(
-        F.sum("units_sold").alias("units_sold"),
-        F.max("seq").alias("seq"),
-        *[F.max_by(name, _seq_where_known(name)).alias(name) for name in MEASURES],
-        *[F.max(_seq_where_known(name)).alias(f"{name}_seq") for name in MEASURES],
+def _finished_days(records: DataFrame, labels: list[str]) -> DataFrame:
+    """One row per product and day: summed units, and the last non-null value of the rest."""
+    return records.groupBy("product", "date").agg(
+        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("units_sold"),
+        *[F.max_by(name, _seq_where_known(name)).alias(name) for name in MEASURES + labels],
     )
 
 
 def _rolled_up(records: DataFrame, labels: list[str], one_record_per_day: bool) -> DataFrame:
-    """One row per product and day: summed units, and the last non-null value of the rest."""
+    """Finished days, clustered by product."""
     if one_record_per_day:
-        parts = records.withColumns({f"{name}_seq": _seq_where_known(name) for name in MEASURES})
-    else:
-        parts = _combined(records, labels)
-    return parts.repartition("product").groupBy("product", "date").agg(
-        F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("units_sold"),
-        *[F.max_by(name, f"{name}_seq").alias(name) for name in MEASURES],
-        *[F.max_by(name, _seq_where_known(name)).alias(name) for name in labels],
-    )
+        return _finished_days(records.repartition("product"), labels)
+    return _finished_days(records, labels).repartition("product")
 
 
 def daily_table(raw: DataFrame, *, supplier: bool = True,
                 one_record_per_day: bool = False) -> DataFrame:
     """Roll records up to product and day and derive revenue, profit, value and stock change.
 
-    Raw rows are combined on the map side and first shuffled by product *and* day, so a product
-    that holds a large share of the records is spread over many tasks.  Only then are rows
-    clustered by product, and by then a product has about one row per calendar day, which bounds
-    the group that one task sees.  That clustering and its order by date also serve every
-    per-product window and aggregate applied to the result.
+    Raw rows are combined on the map side, shuffled by product *and* day and finished there, so a
+    product that holds a large share of the records is spread over many tasks, and a day with many
+    records (of many suppliers, say) sends one row from each task that reads it.  Only finished days
+    are clustered by product: at most one row per calendar day, which bounds the group that one task
+    sees.  That clustering and its order by date also serve every per-product window and aggregate
+    applied to the result.
 
     ``supplier=False`` leaves the supplier out; nothing after the daily table uses it.
     ``one_record_per_day=True`` is a layout hint, not a change of result: for feeds that already
-    hold about one record per product and day it skips the first of the two shuffles.
+    hold one record per product and day it skips the first of the two shuffles.  On any other feed
+    all records of a product then meet in one task.
     """
     records = typed(raw).where(F.col("product").isNotNull() & F.col("date").isNotNull())
     labels = LABELS if supplier else LABELS[:1]

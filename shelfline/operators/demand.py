@@ -143,7 +143,7 @@ def profile_numbers(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
             "cv": ratio("std_dev", "mean_demand"),
             "trend_strength": "case when mean_demand <> 0 "
                               "then slope * (observation_count - 1) / mean_demand end",
-            "seasonal_deviation": f"greatest({', '.join(f'abs({name} - 1)' for name in buckets)})",
+            "seasonal_deviation": f"array_max(transform(array({', '.join(buckets)}), f -> abs(f - 1)))",
         },
         {"trend": f"case when trend_strength > {cut} then 'INCREASING' "
                   f"when trend_strength < -{cut} then 'DECREASING' "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from shelfline.operators.demand import (DEMAND_COLUMNS, OUTLIER_COLUMNS, PATTERN
                                         STATE_COLUMNS, TREND_COLUMNS,
                                         profile_numbers, with_factor_maps, with_labels)
 from shelfline.params import DEFAULTS, Params
+from shelfline.sources.store import stored
 
 PLANNING_COLUMNS = ["lead_time_demand", "lead_time_sd", "safety_stock", "reorder_point",
                     "days_remaining", "stockout_probability", "reorder_quantity"]
@@ -41,14 +45,24 @@ def with_planning_inputs(profile: DataFrame) -> DataFrame:
 
 
 def product_profile(daily: DataFrame, params: Params = DEFAULTS,
-                    financial_reference: float | None = None) -> DataFrame:
-    """Statistics, planning, exposure, risk and recommendation per product."""
+                    financial_reference: float | Column | None = None) -> DataFrame:
+    """Statistics, planning, exposure, risk and recommendation per product.
+
+    ``financial_reference`` is what revenue at risk is compared with: a number, or an aggregate over
+    the whole product set such as ``F.max("revenue_at_risk")``.  For an aggregate the numbers of all
+    products are stored once and read twice, instead of being worked out twice.
+    """
     planned = with_planning_inputs(profile_numbers(daily, params))
     planned = with_financial(with_planning(planned, PLANNED, params), PLANNED, params)
-    signals = Signals() if financial_reference is None else Signals(
-        financial_reference=number(financial_reference))
+    signals = Signals()
+    if isinstance(financial_reference, Column):
+        planned = stored(planned, "planned")
+        planned = planned.withColumn("financial_reference", planned.agg(financial_reference).scalar())
+        signals = Signals(financial_reference="financial_reference")
+    elif financial_reference is not None:
+        signals = Signals(financial_reference=number(financial_reference))
     scored = with_scores(planned, signals, params=params).drop(
-        "planning_mean", "planning_sd", "planning_cost", "planning_price")
+        "planning_mean", "planning_sd", "planning_cost", "planning_price", "financial_reference")
     labelled = with_labels(with_risk_level(settled(scored), params), params)
     return with_factor_maps(with_recommendation(labelled, params=params))
 
@@ -71,6 +85,18 @@ def inventory_planning(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame
     return product_profile(daily, params).select("product", *PLANNING_COLUMNS)
 
 
+def planning_by_level(profile: DataFrame, levels: Sequence[float], params: Params = DEFAULTS) -> DataFrame:
+    """Planning of every product at every service level; rows are expanded in place.
+
+    A level that is not between 0 and 1 keeps its rows, without safety stock and what follows from it.
+    """
+    start = with_planning_inputs(profile).select(
+        "product", "planning_mean", "planning_sd", "current_inventory", "lead_time_days",
+        F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("service_level"))
+    planned = with_planning(start, replace(PLANNED, level="service_level"), params)
+    return planned.select("product", "service_level", "z_score", *PLANNING_COLUMNS)
+
+
 def financial_metrics(daily: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return product_profile(daily, params).select("product", *FINANCIAL_COLUMNS)
 

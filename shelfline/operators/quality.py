@@ -63,12 +63,23 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n"))
 
 
-def validation_report(df: DataFrame) -> DataFrame:
-    """The violated checks with their row counts, in a fixed order.
+def _counted(raw: DataFrame, checks: list[tuple]) -> DataFrame:
+    """One row with the count of every check, as n_0, n_1 and so on, from one scan.
 
-    The counts are one aggregate over the input without a shuffle of rows; the duplicate count is
-    a scalar subquery that reads product and date only.
+    Counts are first carried per product and date, where records that share both are known, and
+    then summed.  Both steps combine on the map side.
     """
+    per_day = raw.groupBy("product", "date").agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(condition).alias(f"n_{i}") for i, (*_, condition, _) in enumerate(checks)
+        if condition is not None])
+    shared = F.when(F.col("rows") > 1, F.col("rows"))
+    return per_day.agg(*[
+        F.coalesce(F.sum(shared if condition is None else F.col(f"n_{i}")), F.lit(0)).alias(f"n_{i}")
+        for i, (*_, condition, _) in enumerate(checks)])
+
+
+def validation_report(df: DataFrame) -> DataFrame:
+    """The violated checks with their row counts, in a fixed order; the input is read once."""
     absent = missing_columns(df)
     if absent:
         found = [("MISSING_COLUMN", "ERROR", ",".join(absent), len(absent),
@@ -76,14 +87,7 @@ def validation_report(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(found, REPORT_SCHEMA)
     raw = df.select(*REQUIRED_COLUMNS)
     checks = _checks(raw)
-    counts = [F.count_if(condition).alias(f"n_{i}")
-              for i, (*_, condition, _) in enumerate(checks) if condition is not None]
-    counted = raw.agg(*counts)
-
-    def n_rows(i: int) -> Column:
-        if checks[i][3] is None:
-            return duplicate_rows(raw).scalar()
-        return F.col(f"n_{i}")
+    counted = _counted(raw, checks)
 
     def wording(text: str) -> Column:
         if "{}" not in text:
@@ -97,7 +101,7 @@ def validation_report(df: DataFrame) -> DataFrame:
             blocked = blocked | (F.col(f"n_{i}") > 0)
     entries = [F.struct(F.lit(i).alias("position"), F.lit(check).alias("check"),
                         F.lit(severity).alias("severity"), F.lit(column).alias("column"),
-                        n_rows(i).cast("long").alias("n_rows"), F.lit(text).alias("template"))
+                        F.col(f"n_{i}").alias("n_rows"), F.lit(text).alias("template"))
                for i, (check, severity, column, _, text) in enumerate(checks)]
     message = F
     for i, (*_, text) in enumerate(checks):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,26 +132,37 @@ def recommendations_in_context(profile: DataFrame, params: Params = DEFAULTS) ->
         F.expr(evidence(context, wider)).alias("evidence"))
 
 
-def brief_context(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Rows (section, position, key, payload) that hold everything a brief may mention.
+def brief_records(profile: DataFrame, params: Params = DEFAULTS) -> list[DataFrame]:
+    """Rows (section, position, key, record) that hold everything a brief may mention, by section.
 
-    One overall row, one row per category with its level, and the riskiest products.  Payloads are
-    JSON; they stay rows so that no task has to hold all categories.
+    One overall row, one row per category with its level, and the riskiest products.
     """
     def rows(df: DataFrame, section: str, key: Column, position: Column) -> DataFrame:
         return df.select(F.lit(section).alias("section"), position.cast("int").alias("position"),
-                         key.alias("key"), F.to_json(F.struct(*df.columns)).alias("payload"))
+                         key.alias("key"), F.struct(*df.columns).alias("record"))
 
     none = F.lit(None).cast("string")
-    overall = rows(overall_health(profile, params=params).drop("warning"), "overall", none, F.lit(1))
     levels = category_risk(profile, params=params).where("risk_level is not null")
-    levels = rows(levels.select("category", "risk_level"), "category", F.col("category"), F.lit(None))
-    products = top_risk(profile, params)
-    return overall.unionByName(levels).unionByName(
-        rows(products, "product", F.col("product"), F.col("position")))
+    return [
+        rows(overall_health(profile, params=params).drop("warning"), "overall", none, F.lit(1)),
+        rows(levels.select("category", "risk_level"), "category", F.col("category"), F.lit(None)),
+        rows(top_risk(profile, params), "product", F.col("product"), F.col("position")),
+    ]
+
+
+def brief_context(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """`brief_records` with JSON payloads; they stay rows so that no task has to hold all categories."""
+    payload = F.to_json("record").alias("payload")
+    return reduce(DataFrame.unionByName, [rows.select("section", "position", "key", payload)
+                                          for rows in brief_records(profile, params)])
+
+
+def product_record(profile: DataFrame, product: str) -> DataFrame:
+    """The context record of one product."""
+    return profile.where(F.col("product") == product).select(*_context())
 
 
 def product_context(profile: DataFrame, product: str) -> DataFrame:
     """The context record of one product as JSON."""
-    one = profile.where(F.col("product") == product).select(*_context())
+    one = product_record(profile, product)
     return one.select("product", F.to_json(F.struct(*one.columns)).alias("payload"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from statistics import NormalDist
 
 
+# The weights here and the thresholds below decide every label, score and action.
 def _risk_weights() -> dict[str, float]:
     return {
         "stockout_exposure": 0.30,

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 # The names of the input contract, in its order.
 NUMERIC_COLUMNS = ["inventory", "units_sold", "unit_cost", "selling_price", "lead_time_days"]
-REQUIRED_COLUMNS = ["date", "product", "category", "inventory", "units_sold", "unit_cost",
-                    "selling_price", "supplier", "lead_time_days"]
+# Added by the readers: where a record stands in its files.
+POSITION = "_position"
 
 INPUT_SCHEMA = T.StructType(
     [
@@ -22,6 +22,7 @@ INPUT_SCHEMA = T.StructType(
     ]
 )
 
+REQUIRED_COLUMNS = INPUT_SCHEMA.fieldNames()
 TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in INPUT_SCHEMA.fields])
 
 
@@ -71,17 +72,35 @@ def _ordering(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+def _rows_are_numbered(df: DataFrame) -> bool:
+    """Whether the rows come straight from files whose format numbers them."""
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    found = [hidden.apply(n) for n in range(hidden.size())]
+    return any(x.name() == "_metadata" and '"row_index"' in x.dataType().json() for x in found)
+
+
+def positioned(df: DataFrame) -> DataFrame:
+    """The rows with their position, if they come straight from files whose format numbers its rows."""
+    if POSITION in df.columns or "_metadata" in df.columns or not _rows_are_numbered(df):
+        return df
+    return df.withColumn(POSITION, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Project onto the contract: typed columns plus ``seq``, everything else dropped.
 
     ``seq`` decides which row is "last" within one product and day.  It is taken from a
-    column ``seq``, else from ``id``, else from the position in the scan.  Text does not order rows
-    (``10`` would come before ``9``) and is passed over; a missing number comes first.
+    column ``seq``, else from ``id``, else from the position in the files: path and row number, which
+    are the same however the files are split over tasks.  Only rows that come from no file (or
+    through a join or an aggregate) are ordered by their place in the partitions.  Text does not order
+    rows (``10`` would come before ``9``) and is passed over; a missing number comes first.
     """
     absent = missing_columns(df)
     if absent:
         raise ValueError(f"missing required columns: {absent}")
-    order = next((_ordering(df, name) for name in ("seq", "id") if _orders(df, name)),
+    if not any(_orders(df, name) for name in ("seq", "id")):
+        df = positioned(df)
+    order = next((_ordering(df, name) for name in ("seq", "id", POSITION) if _orders(df, name)),
                  F.monotonically_increasing_id())
     casts = {
         "date": day,

@@ -38,6 +38,21 @@ def _phi(x: str) -> str:
     return f"(case when {x} > 0 then 1e0-{upper} else {upper} end)"
 
 
+def _levels(levels: list[float]) -> str:
+    """Service levels with the z whose upper tail is 1 - level, by bisection; none unless below 1."""
+    listed = ", ".join(f"{x!r}e0" for x in levels)
+    return f"""tails as (select unnest([{listed}]) as service_level),
+bisected as (
+  select service_level, 0e0 as low, 40e0 as high, 0 as step from tails where service_level < 1
+  union all
+  select service_level, case when {_phi('minus')} > 1 - service_level then -minus else low end,
+         case when {_phi('minus')} > 1 - service_level then high else -minus end, step + 1
+  from (select *, -(low + high) / 2 as minus from bisected) where step < 70),
+levels as (
+  select t.service_level, (low + high) / 2 as z
+  from tails t left join bisected b on t.service_level = b.service_level and step = 70)"""
+
+
 FEED = """feed as (
   select cast(l.l_shipdate as date) as date,
          concat('P', lpad(cast(p.p_partkey as varchar), 6, '0')) as product,
@@ -313,6 +328,10 @@ OVERALL = """overall as (
 STATUS = ("case when score <= 39 then 'HEALTHY' when score <= 69 then 'ATTENTION' "
           "when score is not null then 'CRITICAL' end")
 
+SINGLE = """grid as (
+  select * from (values ('none', cast(null as double), cast(null as double)), ('demand', 0.1e0, null),
+                        ('lead', null, 3e0), ('both', -0.25e0, 2.5e0), ('negative', -1.5e0, null),
+                        ('early', null, -100e0)) as t(scenario_id, change, extra))"""
 GRID = """grid as (
   select concat('d', pct, '_l', lead) as scenario_id, pct / 100e0 as change,
          cast(lead as double) as extra
@@ -330,7 +349,8 @@ WHAT_IF = ",\n".join([
     _scores("bp", "bs", "inventory"),
     _decisions("bs", "bd", "inventory", "b_lead", "b_mean"),
     """tried as (
-  select s.*, scenario_id, change, extra, b_mean * (1 + change) as w_mean, b_lead + extra as w_lead
+  select s.*, scenario_id, change, extra, b_mean * (1 + coalesce(change, 0)) as w_mean,
+         b_lead + coalesce(extra, 0) as w_lead
   from start s cross join grid)""",
     _formulas("tried", "wp", "w_mean", "sd", "inventory", "w_lead", "unit_cost", "selling_price"),
     _scores("wp", "ws", "inventory"),
@@ -344,8 +364,9 @@ WHAT_IF = ",\n".join([
                                                 'target', 'excess', 'excess_value', 'rar', 'par',
                                                 'risk', 'level'])},
          case when w_mean < 0 then {_text(m.NEGATIVE_SCENARIO_DEMAND)}
-              when w.b_lead is null or w.b_lead <= 0 then {_text(m.NO_BASELINE_LEAD_TIME)}
-              when w_lead <= 0 then {_text(m.SCENARIO_LEAD_TIME)} end as problem
+              when extra is not null and (w.b_lead is null or w.b_lead <= 0)
+                then {_text(m.NO_BASELINE_LEAD_TIME)}
+              when extra is not null and w_lead <= 0 then {_text(m.SCENARIO_LEAD_TIME)} end as problem
   from wd w join bd b on w.product = b.product)""",
 ])
 COMPARED = {"mean_demand": ("b_mean", "w_mean"), "lead_time_days": ("b_lead", "w_lead"),
@@ -473,11 +494,60 @@ def _warnings() -> str:
         "from (select *, unnest(range(1, len(texts) + 1)) as i from found)")
 
 
-def _reason_rows(ctes: list[str], source: str, more: str = "") -> str:
+IN_CONTEXT = """,
+  case when action <> 'UNAVAILABLE' and cat_level = 'HIGH' then 'CATEGORY_HIGH' end,
+  case when action <> 'UNAVAILABLE' and status = 'CRITICAL' then 'OVERALL_CRITICAL' end"""
+
+
+def _wording(template: str, values: list[str]) -> str:
+    pieces = template.split("{}")
+    parts = [_text(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        parts += [value, _text(piece)]
+    return " || ".join(parts)
+
+
+def _reason_text(code: str) -> str:
+    """The sentence of a code; numbers by printf, which rounds the double that they are."""
+    values = {
+        "COVERAGE_BELOW_LEAD": ["printf('%.1f', days)", "printf('%.1f', lead_time_days)"],
+        "STOCKOUT_ELEVATED": ["printf('%.1f', prob * 100) || '%'"],
+        "STOCKOUT_ESTIMATE": ["printf('%.1f', prob * 100) || '%'"],
+        "EXCESS_SIGNIFICANT": ["printf('%.1f', ratio * 100) || '%'"],
+        "REORDER_QTY": ["printf('%.1f', qty)"],
+        "REVENUE_AT_RISK": ["printf('%.2f', rar)"],
+        "PROFIT_AT_RISK": ["printf('%.2f', par)"],
+        "EXCESS_VALUE": ["printf('%.2f', excess_value)"],
+        "CATEGORY_HIGH": ["category"],
+    }
+    arms = " ".join(f"when {_text(name)} then {_wording(text, values.get(name, []))}"
+                    for name, text in m.REASONS.items())
+    return f"case {code} {arms} end"
+
+
+def _reason_rows(ctes: list[str], source: str, more: str = "", wanted: str = "codes[i] as code") -> str:
     codes = REASON_CODES.replace("{more}", more)
-    return _query(ctes, f"select product, cast(i - 1 as integer) as position, codes[i] as code from "
+    return _query(ctes, f"select product, cast(i - 1 as integer) as position, {wanted} from "
                         f"(select *, unnest(range(1, len(codes) + 1)) as i from "
-                        f"(select product, {codes} as codes from {source}))")
+                        f"(select *, {codes} as codes from {source}))")
+
+
+REASON = f"{_reason_text('codes[i]')} as reason"
+
+
+def _leaves(keys: str, source: str, fields: dict[str, str], places: int = 6) -> str:
+    """A row for each field: paths that start with # are numbers, the others texts."""
+    rows = ", ".join(
+        f"struct_pack(path := {_text(path.lstrip('#'))}, "
+        + (f"number := round(cast({text} as double), {places}), text := cast(null as varchar))"
+           if path.startswith("#") else f"number := cast(null as double), text := cast({text} as varchar))")
+        for path, text in fields.items())
+    return (f"select {keys}, leaf.path as path, leaf.number as number, leaf.text as text "
+            f"from (select {keys}, unnest([{rows}]) as leaf from {source})")
+
+
+def _topic(topic: str, fields: dict[str, str]) -> dict[str, str]:
+    return {("#" if k.startswith("#") else "") + f"{topic}.{k.lstrip('#')}": v for k, v in fields.items()}
 
 
 CONTEXT = {"mean_demand": "mean", "cv": "cv", "trend_strength": "strength",
@@ -497,10 +567,10 @@ EXPLORER = (f"select product, coalesce(category, 'N/A') as category, "
             f"round(excess, 6) as excess_units, round(ratio, 6) as excess_ratio from products")
 CATEGORY_SELECT = (
     "select category, n as product_count, n_high as high_risk_product_count, "
-    + _r({"average_product_risk_score": "avg_risk", "inventory_value": "value",
-          "capital_tied_up": "capital", "stockout_exposure": "exposure",
-          "excess_inventory_value": "excess_value", "demand_volatility": "volatility",
-          "value_score": "value_score", "high_risk_score": "high_score", "risk_score": "score"}, 3)
+    + _r({"average_product_risk_score": "avg_risk", "demand_volatility": "volatility",
+          "value_score": "value_score", "high_risk_score": "high_score", "risk_score": "score"}) + ", "
+    + _r({"inventory_value": "value", "capital_tied_up": "capital", "stockout_exposure": "exposure",
+          "excess_inventory_value": "excess_value"}, 3)
     + ", level as risk_level from cats")
 DAILY_SELECT = (
     "select product, date, category, supplier, "
@@ -513,6 +583,165 @@ DAILY_SELECT = (
       "as profit_margin from daily")
 
 
+STATE = {"category": "category", "#current_inventory": "inventory", "#unit_cost": "unit_cost",
+         "#selling_price": "selling_price", "#lead_time_days": "lead_time_days"}
+DEMAND = {"#observation_count": "n", "#mean_demand": "mean", "#median_demand": "med", "#std_dev": "sd",
+          "#variance": "variance", "#cv": "cv", "#min_demand": "lo", "#max_demand": "hi",
+          "#zero_demand_days": "zero_days", "volatility": "volatility"}
+TREND = {"#slope": "slope", "#intercept": "intercept", "#trend_strength": "strength", "trend": "trend",
+         "trend_significant": "trend in ('INCREASING', 'DECREASING')"}
+OUTLIERS = {"#q1": "q1", "#q3": "q3", "#mad": "mad", "outlier_method": "method",
+            "#lower_fence": "lower_fence", "#upper_fence": "upper_fence",
+            "#outlier_count": "case when method is not null then (select count(*) from flags f "
+                              "where f.product = p.product and outlier) end"}
+PATTERN = {"#mean_demand": "p.mean", "#weeks_observed": "n_weeks", "#weekdays_observed": "n_days",
+           "#months_observed": "n_months", "weekday_pattern_available": "n_weeks >= 4 and n_days >= 2",
+           "monthly_pattern_label": f"case when n_months >= 12 then {_text(m.ANNUAL_PATTERN)} "
+                                    f"when n_months >= 2 then {_text(m.OBSERVED_PATTERN)} end",
+           **{name: _named(name, titles, key, first).rsplit(" as ", 1)[0] for name, titles, key, first in (
+               ("peak_weekday", m.WEEKDAYS, "peak_day", 0), ("drop_weekday", m.WEEKDAYS, "drop_day", 0),
+               ("peak_month", m.MONTHS, "peak_mon", 1), ("drop_month", m.MONTHS, "drop_mon", 1))},
+           "#seasonal_deviation": "p.deviation"}
+PLANNING = {"#lead_time_demand": "ltd", "#lead_time_sd": "lsd", "#safety_stock": "ss", "#reorder_point": "rop",
+            "#days_remaining": "days", "#stockout_probability": "prob", "#reorder_quantity": "qty"}
+FINANCIAL = {"#profit_per_unit": "unit_profit", "#inventory_value": "value", "#capital_tied_up": "value",
+             "#shortage_units": "shortage", "#revenue_at_risk": "rar", "#profit_at_risk": "par",
+             "#target_stock": "target", "#excess_units": "excess", "#excess_inventory_value": "excess_value"}
+RISK = {**{f"#{name}_score": f"r{n}" for n, name in enumerate(
+    ["stockout_exposure", "demand_volatility", "demand_trend", "excess_inventory", "financial_exposure",
+     "seasonality"], 1)}, "#available_weight_sum": "wsum", "#risk_score": "risk", "risk_level": "level"}
+EVIDENCE = {"#mean_demand": "mean", "#cv": "cv", "trend": "trend", "#trend_strength": "strength",
+            "#stockout_probability": "prob", "#days_remaining": "days", "#lead_time_demand": "ltd",
+            "#reorder_point": "rop", "#reorder_quantity": "qty", "#target_stock": "target",
+            "#excess_units": "excess", "#excess_inventory_value": "excess_value", "#revenue_at_risk": "rar",
+            "#profit_at_risk": "par", "risk_level": "level", "#risk_score": "risk"}
+SUGGESTION = {"#coverage_ratio": "cover", "#excess_ratio": "ratio", "branch": "branch", "action": "action",
+              "priority": "priority", "#suggested_quantity": "case when action <> 'UNAVAILABLE' then qty end"}
+BRIEF = {"product": "product", "category": "category", "#mean_demand": "mean", "#cv": "cv", "trend": "trend",
+         "#trend_strength": "strength", "#current_inventory": "inventory", "#days_remaining": "days",
+         "#lead_time_days": "lead_time_days", "#safety_stock": "ss", "#reorder_point": "rop",
+         "#reorder_quantity": "qty", "#stockout_probability": "prob", "#excess_units": "excess",
+         "#excess_inventory_value": "excess_value", "#revenue_at_risk": "rar", "#profit_at_risk": "par",
+         "#risk_score": "risk", "risk_level": "level", "recommendation_action": "action",
+         "recommendation_priority": "priority", **_topic("recommendation_evidence", EVIDENCE)}
+
+
+def _elements(path: str, rows: str, place: str, text: str) -> str:
+    """Rows with a position as the elements of an array."""
+    return (f"select product, concat({path}, '[', {place}, ']') as path, cast(null as double) as number, "
+            f"{text} as text from ({rows})")
+
+
+def _entries(path: str, rows: str, key: str, value: str) -> str:
+    return (f"select product, concat('{path}{{', {key}, '}}') as path, round({value}, 6) as number, "
+            f"cast(null as varchar) as text from ({rows})")
+
+
+def _profile_leaves(statements: dict[str, str], where: str = "") -> str:
+    """Every leaf of the nested profile, from the tables that hold its parts."""
+    topics = [STATE, _topic("demand", DEMAND), _topic("trend_result", TREND), _topic("outliers", OUTLIERS),
+              _topic("pattern", PATTERN), _topic("planning", PLANNING), _topic("financial", FINANCIAL),
+              _topic("risk", RISK), _topic("recommendation", SUGGESTION),
+              _topic("recommendation.evidence", EVIDENCE)]
+    topic_of = ("case stage when 'trend' then 'trend_result' when 'outlier' then 'outliers' else stage end")
+    parts = [
+        _query([*TO_PRODUCTS, FLAGS, "wide as (select p.*, e.* exclude (product, mean, deviation) "
+                                     "from products p join extremes e using (product))"],
+               _leaves("product", "wide p", {k: v for topic in topics for k, v in topic.items()})),
+        _elements(f"{topic_of}, '.', stage, '_warnings'", statements["product_warnings"], "position", "warning"),
+        _elements("'recommendation.gate_warnings'", statements["recommendation_warnings"], "position", "warning"),
+        _elements("'recommendation.reason_codes'", statements["recommendation_reasons"], "position", "code"),
+        _elements("'recommendation.reasons'", statements["recommendation_reason_texts"], "position", "reason"),
+        _entries("pattern.weekday_factors", statements["weekday_factors"], "weekday", "factor"),
+        _entries("pattern.monthly_factors", statements["monthly_factors"], "month", "factor"),
+        _entries("risk.weights_used", statements["risk_weights"], "component", "weight"),
+    ]
+    return f"select * from ({' union all '.join(f'select * from ({part})' for part in parts)}) {where}"
+
+
+def _context_leaves(keys: str, source: str) -> str:
+    """The context records of the products in source, which has their keys too."""
+    codes = REASON_CODES.replace("{more}", "")
+    listed = (f"select {keys}, concat('recommendation_reasons[', i - 1, ']') as path, cast(null as double) as number, "
+              f"{_reason_text('codes[i]')} as text from (select *, unnest(range(1, len(codes) + 1)) as i "
+              f"from (select *, {codes} as codes from {source}))")
+    return f"{_leaves(keys, source, BRIEF)} union all {listed}"
+
+
+def _brief() -> str:
+    none = "cast(null as integer)"
+    overall = {"#overall_risk_score": "score", "overall_health_status": STATUS, "#total_products": "total_products",
+               "#products_at_risk": "products_at_risk", "#total_categories": "total_categories",
+               "#high_risk_categories": "high_risk_categories", "#total_stockout_exposure": "exposure",
+               "#total_excess_inventory_value": "excess_value", "#total_capital_tied_up": "capital",
+               "#total_revenue_at_risk": "case when rar > 0 then rar end",
+               "#total_profit_at_risk": "case when par > 0 then par end"}
+    keys = 'section, position, "key"'
+    top = ("top as (select 'product' as section, product as \"key\", cast(row_number() over (order by "
+           "coalesce(risk, 0) desc, product) as integer) as position, * from products "
+           "order by coalesce(risk, 0) desc, product limit 10)")
+    rows = [
+        _leaves(keys, f"(select 'overall' as section, 1 as position, cast(null as varchar) as \"key\", * from overall)",
+                overall, 3),
+        _leaves(keys, f"(select 'category' as section, {none} as position, category as \"key\", * from cats)",
+                {"category": "category", "risk_level": "level"}),
+        _context_leaves(keys, "top"),
+    ]
+    return _query([*TO_PRODUCTS, CATEGORIES_ALONE, OVERALL, top], " union all ".join(rows))
+
+
+def _planning_notes() -> str:
+    lead, price = "coalesce(lead_time_days > 0, false)", "(case when product like '%7' then 0 else selling_price end)"
+    notes = [(f"mean > 0 and mean * {price} <= 0", m.ZERO_REVENUE),
+             ("inventory is null", m.NO_INVENTORY_FINANCIAL),
+             (f"not {lead}", m.BAD_LEAD_TIME), (f"{lead} and sd is null", m.NO_VARIABILITY),
+             (f"{lead} and sd is not null and inventory is null", m.NO_INVENTORY_PLANNING),
+             (f"{lead} and sd is not null and inventory is not null and not coalesce(mean > 0, false)",
+              m.ZERO_MEAN_COVER),
+             (f"{lead} and inventory is not null and sd = 0", m.ZERO_VARIABILITY)]
+    listed = ", ".join(f"case when {c} then {_text(t)} end" for c, t in notes)
+    return _query(TO_PRODUCTS, "select product, cast(i - 1 as integer) as position, texts[i] as warning "
+                  "from (select *, unnest(range(1, len(texts) + 1)) as i from (select product, "
+                  f"list_filter([{listed}], lambda x: x is not null) as texts from products))")
+
+
+def _by_level() -> str:
+    priced = {"lead_time_demand": "ltd", "lead_time_sd": "lsd", "safety_stock": "ss", "reorder_point": "rop",
+              "days_remaining": "days", "stockout_probability": "prob", "reorder_quantity": "qty"}
+    at = """levelled as (
+  select product, coalesce(mean, 0) as b_mean, plan_sd, inventory, lead_time_days, unit_cost, selling_price,
+         service_level, z from inputs cross join levels)"""
+    planned = _formulas("levelled", "leveled", "b_mean", "plan_sd", "inventory", "lead_time_days", "unit_cost",
+                        "selling_price").replace(Z, "z")
+    ctes = [*TO_PRODUCTS, _levels([0.5, 0.8, 0.9, 0.95, 0.975, 0.99, 0.999, 1.0]), at, planned]
+    return _query(ctes, "select product, round(service_level, 9) as service_level, round(z, 9) as z_score, "
+                  + _r(priced) + " from leveled").replace("with ", "with recursive ", 1)
+
+
+STRICT = {"<= 39": "<= 10", "<= 69": "<= 20"}
+
+
+def _strictly(text: str) -> str:
+    for usual, strict in STRICT.items():
+        text = text.replace(usual, strict)
+    return text
+
+
+def _what_if_select(kinds: set[str]) -> str:
+    parts = ["select product, scenario_id, problem as scenario_error"]
+    if "values" in kinds:
+        parts += ["round(change, 6) as mean_demand_change_pct", "round(extra, 6) as lead_time_days_change",
+                  _r({f"base_{k}": b for k, (b, _) in COMPARED.items()}),
+                  _r({f"scenario_{k}": f"case when problem is null then {w} end" for k, (_, w) in COMPARED.items()}),
+                  *[f"{b} as base_{k}, case when problem is null then {w} end as scenario_{k}"
+                    for k, (b, w) in WORDS.items()]]
+    if "deltas" in kinds:
+        parts += ["case when problem is null then case when risk > b_risk then 'increases' "
+                  "when risk < b_risk then 'decreases' when risk = b_risk then 'unchanged' end end as direction",
+                  _r({f"delta_{k}": f"case when problem is null then {w} - {b} end" for k, (b, w) in COMPARED.items()})]
+    return ", ".join(parts) + " from compared"
+
+
 def _stats_select() -> str:
     return ("select product, n as observation_count, "
             + _r({"mean_demand": "mean", "median_demand": "med", "std_dev": "sd",
@@ -528,6 +757,13 @@ def _enriched() -> list[str]:
 
 
 def statements() -> dict[str, str]:
+    found = _flat_statements()
+    found["product_profile_nested"] = _profile_leaves(found)
+    found["product_detail"] = _profile_leaves(found, "where product = 'P000007'")
+    return found
+
+
+def _flat_statements() -> dict[str, str]:
     priced = {"lead_time_demand": "ltd", "lead_time_sd": "lsd", "safety_stock": "ss",
               "reorder_point": "rop", "days_remaining": "days", "stockout_probability": "prob",
               "reorder_quantity": "qty"}
@@ -558,6 +794,8 @@ def statements() -> dict[str, str]:
             "count(*) filter (where severity = 'WARNING') as n_warnings "
             f"from ({_report([FEED], 'feed')})",
         "daily_processed": _query(TO_DAILY, DAILY_SELECT),
+        "daily_from_csv": _query(TO_DAILY, DAILY_SELECT),
+        "daily_from_parquet": _query(TO_DAILY, DAILY_SELECT),
         "filtered_daily": _query(TO_DAILY, DAILY_SELECT + (
             " where date between date '1994-01-01' and date '1996-12-31' "
             "and category in ('PROMO', 'SMALL', 'LARGE') "
@@ -629,9 +867,42 @@ def statements() -> dict[str, str]:
             _enriched(), "select product, category, action, priority, cat_level as "
             "category_risk_level, round(cat_score, 6) as category_risk_score, "
             "status as overall_health_status from wide"),
-        "enriched_reasons": _reason_rows(_enriched(), "wide", """,
-  case when action <> 'UNAVAILABLE' and cat_level = 'HIGH' then 'CATEGORY_HIGH' end,
-  case when action <> 'UNAVAILABLE' and status = 'CRITICAL' then 'OVERALL_CRITICAL' end"""),
+        "enriched_reasons": _reason_rows(_enriched(), "wide", IN_CONTEXT),
+        "enriched_reasons_strict": _strictly(_reason_rows(
+            _enriched(), "wide", IN_CONTEXT, f"codes[i] as code, {REASON}")),
+        "recommendation_reason_texts": _reason_rows(TO_PRODUCTS, "products", wanted=REASON),
+        "recommendation_evidence": _query(TO_PRODUCTS, _leaves(
+            "product", "products", _topic("evidence", EVIDENCE))),
+        "planning_notes": _planning_notes(),
+        "planning_by_service_level": _by_level(),
+        "product_risk_with_reference": _query(
+            [*TO_STATS, FACTORS, PRODUCTS.replace(
+                "cast(null as double) as r5", "case when rar is not null and (select max(rar) from planned) > 0 "
+                "then least(rar / (select max(rar) from planned) * 100, 100e0) end as r5")],
+            f"select product, {_r(risk)}, level as risk_level from products"),
+        "validation_missing_columns":
+            "select 'MISSING_COLUMN' as \"check\", 'ERROR' as severity, 'supplier,lead_time_days' as \"column\", "
+            "cast(2 as bigint) as n_rows, 'Missing required columns: [''supplier'', ''lead_time_days'']' as message",
+        "category_warnings": _query(
+            [*TO_PRODUCTS, CATEGORIES_ALONE.replace(
+                "from products where risk is not null and category is not null",
+                "from (select * replace (case when category <> 'PROMO' then risk end as risk) from products) "
+                "where category is not null")],
+            "select category, n as product_count, case when avg_risk is not null then level end as risk_level, "
+            f"case when avg_risk is null then {_wording(m.NO_CATEGORY_SCORES, ['category'])} end as warning from cats"),
+        "overall_health_empty":
+            "select cast(null as double) as overall_risk_score, cast(null as varchar) as overall_health_status, "
+            "0 as total_products, 0 as products_at_risk, 0 as total_categories, 0 as high_risk_categories, "
+            + ", ".join(f"cast(null as double) as {name}" for name in (
+                "total_stockout_exposure", "total_excess_inventory_value", "total_capital_tied_up",
+                "total_revenue_at_risk", "total_profit_at_risk"))
+            + ", 'No category or product data available for overall health.' as warning",
+        "scenario_single": _query([*TO_PRODUCTS, WHAT_IF.replace(GRID, SINGLE)],
+                                  _what_if_select({"values", "deltas"})),
+        "brief_context": _brief(),
+        "product_context": _query(
+            [*TO_PRODUCTS, "one as (select * from products where product = 'P000007')"],
+            f"select path, number, text from ({_context_leaves('product', 'one')})"),
         "product_warnings": _warnings(),
         "top_priorities": _query(
             TO_PRODUCTS, "select cast(row_number() over (order by place, coalesce(risk, 0) desc, "
@@ -656,11 +927,11 @@ def statements() -> dict[str, str]:
         "category_risk": _query([*TO_PRODUCTS, CATEGORIES_ALONE], CATEGORY_SELECT),
         "category_risk_of_total": _query([*TO_PRODUCTS, CATEGORIES_OF_TOTAL], CATEGORY_SELECT),
         "category_comparison": _query(
-            [*TO_PRODUCTS, CATEGORIES_ALONE], "select category, round(score, 3) as risk_score, "
+            [*TO_PRODUCTS, CATEGORIES_ALONE], "select category, round(score, 6) as risk_score, "
             "n_high as high_risk_product_count from cats where score is not null"),
         "overall_health": _query(
             [*TO_PRODUCTS, CATEGORIES_ALONE, OVERALL],
-            f"select round(score, 3) as overall_risk_score, {STATUS} as overall_health_status, "
+            f"select round(score, 6) as overall_risk_score, {STATUS} as overall_health_status, "
             "total_products, products_at_risk, total_categories, high_risk_categories, "
             + _r({"total_stockout_exposure": "exposure",
                   "total_excess_inventory_value": "excess_value",
@@ -683,20 +954,6 @@ def statements() -> dict[str, str]:
                 f"join products p on d.product = p.product "
                 f"where {cond.replace('inventory', 'd.inventory').replace('opening_d.', 'd.opening_') if name != 'DEMAND_SPIKE' else cond}"
                 for name, cond, value in events)),
-        "scenario_results": _query(
-            [*TO_PRODUCTS, WHAT_IF],
-            "select product, scenario_id, round(change, 6) as mean_demand_change_pct, "
-            "round(extra, 6) as lead_time_days_change, problem as scenario_error, "
-            + _r({f"base_{k}": b for k, (b, _) in COMPARED.items()}) + ", "
-            + _r({f"scenario_{k}": f"case when problem is null then {w} end"
-                  for k, (_, w) in COMPARED.items()}) + ", "
-            + ", ".join(f"{b} as base_{k}, case when problem is null then {w} end as scenario_{k}"
-                        for k, (b, w) in WORDS.items()) + " from compared"),
-        "scenario_deltas": _query(
-            [*TO_PRODUCTS, WHAT_IF], "select product, scenario_id, problem as scenario_error, "
-            "case when problem is null then case when risk > b_risk then 'increases' "
-            "when risk < b_risk then 'decreases' when risk = b_risk then 'unchanged' end end "
-            "as direction, "
-            + _r({f"delta_{k}": f"case when problem is null then {w} - {b} end"
-                  for k, (b, w) in COMPARED.items()}) + " from compared"),
+        "scenario_results": _query([*TO_PRODUCTS, WHAT_IF], _what_if_select({"values"})),
+        "scenario_deltas": _query([*TO_PRODUCTS, WHAT_IF], _what_if_select({"deltas"})),
     }
