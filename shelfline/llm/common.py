@@ -47,17 +47,22 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows from Parquet in the shared folder, for results that several later jobs read in part.
-
-    The files go with the session: the file system that holds them deletes them when the driver's JVM ends.
-    """
-    spark = frame.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder among the shared ones, yet to be written. It goes with the session: the file system that holds it
+    deletes it when the driver's JVM ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
-    frame.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # only what is there can be marked
+    files.deleteOnExit(place)
+    return f"{path}/rows"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows from Parquet in the shared folder, for results that several later jobs read in part."""
+    path = new_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

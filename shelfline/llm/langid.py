@@ -6,12 +6,16 @@ a phrase of its own. Phrases per symbol, times the logarithm of the labelled tex
 of the text under that language; the lowest wins. The score is how far the winner lies below the
 next language, as a share: 0 for a tie, 1 where only one language is known.
 
-Whole texts are parsed, in blocks of BLOCK symbols of which many advance together, a step of an automaton at a time; a phrase ends
-with its block, for all languages alike. Symbols are the UTF-8 bytes of the text in lower case, with all ASCII
-characters that are not letters as one.
+Whole texts are parsed from their first symbol to their last. Blocks of BLOCK symbols advance together, a step of an automaton at a
+time, each as if a phrase began with it; then the parse of each block is carried on into the next until both are in the same
+state, from where on they are the same, and the phrases up to there are counted anew. Phrases thus run across blocks, and the size
+of a block changes no result. Symbols are the UTF-8 bytes of the text in lower case, with all ASCII characters that are not letters
+as one.
 
-The automata are fitted on a bounded sample of labelled rows: for each language the rows with the smallest hash of doc_id in
-each of SAMPLE_ROWS bins, of each the first SAMPLE_CHARS characters.
+The automata are fitted on a bounded sample of labelled rows. Whole texts are cut into windows of WINDOW_CHARS characters; of each
+language those with the smallest hash of doc_id and place in each of SAMPLE_WINDOWS bins are learned, wherever in a text they
+are. What is learned grows with the number of languages only. Languages are parsed in groups, one after another, whose table holds at
+most TABLE_ENTRIES entries (or one language).
 
 Result for a null text, or one without a letter, or where no labelled row exists: `und`, score 0. A null doc_id counts
 as an empty string in its checksum. Ties between languages go to the first by name. Repeated rows are judged each for itself.
@@ -30,10 +34,14 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import map_slices, slices
 
-#: Labelled rows of a language that are learned from at most, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 1000
-#: Symbols of a text that are parsed together.
-BLOCK = 512
+#: Windows of labelled text that are learned from for each language at most, and characters of each.
+SAMPLE_WINDOWS, WINDOW_CHARS = 64, 1000
+#: Symbols of a text that are parsed together, and bytes of texts.
+BLOCK, TOGETHER_BYTES = 512, 4 << 20
+#: Entries (four bytes each) of a table of automata.
+TABLE_ENTRIES = 1 << 26
+#: Rows that are judged by one group of languages before the next.
+JUDGED_ROWS = 10_000
 UNKNOWN = "und"
 
 
@@ -97,13 +105,11 @@ class Parser:
 
     def __init__(self, automata: dict[str, Automaton]) -> None:
         self.names = sorted(automata)
-        used = np.unique(np.concatenate([automata[n].symbol for n in self.names] or [np.empty(0, np.int32)]))
+        used = symbols_of(automata)
         self.width = len(used) + 1  # the last column is for symbols that no language has
         self.column = np.full(256, len(used), np.int32)
         self.column[used] = np.arange(len(used))
         sizes = [(automata[n].states + 1) * self.width for n in self.names]
-        if sum(sizes) >= 1 << 31:
-            raise ValueError("the automata are too large for one table; learn from fewer rows")
         self.table = np.empty(sum(sizes), np.int32)
         self.starts, base = [], 0
         for name, size in zip(self.names, sizes):
@@ -131,76 +137,157 @@ class Parser:
         start = np.repeat(np.cumsum(sizes) - sizes, count) + place * BLOCK
         length = np.minimum(BLOCK, np.repeat(sizes, count) - place * BLOCK)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
+        begin, size = start[order], length[order]
         state = np.tile(np.array(self.starts, np.int32)[:, None], (1, len(owner)))
         found = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")
-        for step in range(int(length[0]) if len(length) else 0):
+        active = np.searchsorted(-size, -np.arange(1, BLOCK + 1), "right")
+        for step in range(int(size[0]) if len(size) else 0):
             n = active[step]
-            to = self.table[state[:, :n] + data[start[:n] + step]]
+            to = self.table[state[:, :n] + data[begin[:n] + step]]
             broken = to >> 31
             found[:, :n] -= broken
             state[:, :n] = to ^ broken
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        found, state = found[:, back], state[:, back]
+        for language, void in enumerate(self.starts):
+            found[language] += self.carried(data, start, length, place, state[language], void)
         np.add.at(total, owner, found.T)
         return total
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def carried(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, own_end: np.ndarray,
+                void: int) -> np.ndarray:
+        """How many phrases more each block has, if the parse of the one before goes on into it; own_end: the state in
+        which each block ends by its own parse."""
+        more = np.zeros(len(start), np.int32)
+        end = own_end.copy()  # the state in which each block really ends
+        used = np.full(len(start), -1, np.int32)  # the state that was carried into each block
+        todo = np.flatnonzero(place)
+        while len(todo):
+            used[todo] = end[todo - 1]
+            carry, own = used[todo], np.full(len(todo), void, np.int32)
+            change, at, block = np.zeros(len(todo), np.int32), start[todo], np.arange(len(todo))
+            left = length[todo]
+            end[todo] = own_end[todo]
+            step = 0
+            while len(block):
+                symbol = data[at[block] + step]
+                x, y = self.table[carry[block] + symbol], self.table[own[block] + symbol]
+                x_broken, y_broken = x >> 31, y >> 31
+                change[block] += y_broken - x_broken
+                carry[block], own[block] = x ^ x_broken, y ^ y_broken
+                step += 1
+                ended = left[block] <= step
+                end[todo[block[ended]]] = carry[block[ended]]  # not in step until the end: what is carried counts
+                block = block[~ended & (carry[block] != own[block])]
+            more[todo] = change
+            after = np.flatnonzero(place)
+            todo = after[end[after - 1] != used[after]]
+        return more
+
+
+def symbols_of(automata: dict[str, Automaton]) -> np.ndarray:
+    return np.unique(np.concatenate([a.symbol for a in automata.values()] or [np.empty(0, np.int32)]))
+
+
+class Model:
+    """Automata that become tables at the first text of a task. The tables go when the task ends, as workers live on
+    and serve other operators."""
+
+    def __init__(self, automata: dict[str, Automaton], entries: int = TABLE_ENTRIES) -> None:
+        self.automata = automata
+        self.names = sorted(automata)
+        width = len(symbols_of(automata)) + 1
+        self.groups: list[list[str]] = []
+        held = entries
+        for name in self.names:
+            size = (automata[name].states + 1) * width
+            if held + size > entries:
+                self.groups.append([])
+                held = 0
+            self.groups[-1].append(name)
+            held += size
+
+    @cached_property
+    def only_parser(self) -> Parser:
+        return Parser(self.automata)
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """The language and the score of each text."""
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        some = [n for n, x in enumerate(texts) if x and any(map(str.isalpha, x))] if self.names else []
-        parsed = self.phrases([symbols(texts[n] or "") for n in some])
-        entropy = parsed * self.bits
-        for n, own in zip(some, entropy):
-            best = int(np.argmin(own))
-            rest = np.delete(own, best)
+        entropy = np.zeros((len(texts), len(self.names)))
+        known = np.zeros(len(texts), bool)
+        first = 0
+        for group in self.groups:
+            parser = self.only_parser if len(self.groups) == 1 else Parser({n: self.automata[n] for n in group})
+            for numbers, some in together(texts):
+                entropy[numbers, first:first + len(group)] = parser.phrases(some) * parser.bits
+                known[numbers] = True
+            first += len(group)
+        for n in np.flatnonzero(known):
+            best = int(np.argmin(entropy[n]))
+            rest = np.delete(entropy[n], best)
             languages[n] = self.names[best]
-            scores[n] = float(1 - own[best] / rest.min()) if len(rest) else 1.0
+            scores[n] = float(1 - entropy[n, best] / rest.min()) if len(rest) else 1.0
         return languages, scores
 
 
+def together(texts: pa.Array) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The numbers and symbols of texts that have a letter, so many bytes at a time (or one text)."""
+    numbers: list[int] = []
+    held: list[bytes] = []
+    size = 0
+    for n in range(len(texts)):
+        text = texts[n].as_py()
+        if text and any(map(str.isalpha, text)):
+            numbers.append(n)
+            held.append(symbols(text))
+            size += len(held[-1])
+            if size >= TOGETHER_BYTES:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+    if held:
+        yield numbers, held
+
+
 def checksum(key: str) -> Column:
     """The remainder that deals rows into thirds; rows with remainder 1 are held out."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
-        rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, Automaton]:
-    """An automaton for each label of the rows that are not held out; rows x chars characters of each at most."""
+        windows: int = SAMPLE_WINDOWS, chars: int = WINDOW_CHARS) -> dict[str, Automaton]:
+    """An automaton for each label of the rows that are not held out; windows x chars characters of each at most."""
     known = docs.filter((checksum(key) != 1) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("_hash"))
-    chosen = known.groupBy("label", F.pmod("_hash", F.lit(rows)).alias("bin")).agg(F.min("_hash").alias("_hash")).collect()
-    hashes = sorted({x["_hash"] for x in chosen})
-    pairs = {(x["label"], x["_hash"]) for x in chosen}
-    found = known.filter(F.col("_hash").isin(hashes)).select("label", "_hash", F.substring("text", 1, chars).alias("text"))
+        F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("_key"))
+    number = F.ceil(F.char_length("text") / chars).cast("int")
+    each = known.select("label", "_key", number.alias("number")).filter("number > 0").select(
+        "label", "_key", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("place"))
+    hashed = each.withColumn("_hash", F.xxhash64("_key", "place"))
+    least = hashed.groupBy("label", F.pmod("_hash", F.lit(windows)).alias("bin")).agg(F.min(F.struct("_hash", "_key", "place")).alias("least"))
+    chosen = [(r["label"], *r["least"]) for r in least.collect()]  # at most windows rows for each label
+    if not chosen:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(chosen, "label string, _hash bigint, _key bigint, place int")
+    found = known.withColumn("label", F.col("label").cast("string")).join(F.broadcast(wanted), ["label", "_key"]).select(
+        "label", "_hash", F.expr(f"substring(text, place * {chars} + 1, {chars})").alias("text"))
     by_label: dict[str, dict[int, str]] = {}
-    for x in found.groupBy("label", "_hash").agg(F.min("text").alias("text")).collect() if hashes else []:
-        if (x["label"], x["_hash"]) in pairs:
-            by_label.setdefault(x["label"], {})[x["_hash"]] = x["text"]
+    for x in found.groupBy("label", "_hash").agg(F.min("text").alias("text")).collect():
+        by_label.setdefault(x["label"], {})[x["_hash"]] = x["text"]
     return {name: suffix_automaton([symbols(own[h]) for h in sorted(own)]) for name, own in by_label.items()}
 
 
-class Model:
-    """Automata that become a table at the first text of a task. The table goes when the task ends, as workers live on
-    and serve other operators."""
-
-    def __init__(self, automata: dict[str, Automaton]) -> None:
-        self.automata = automata
-
-    @cached_property
-    def parser(self) -> Parser:
-        return Parser(self.automata)
-
-
 def identify(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Columns key, lang_pred and score, one row per row of docs."""
     kind = dict(docs.dtypes)[key]
     model = Model(automata)
 
     def work(part: pa.RecordBatch) -> dict:
-        languages, scores = model.parser.judge(part.column("text").to_pylist())
+        languages, scores = model.judge(part.column("text"))
         return {"key": part.column("key"), "lang_pred": languages, "score": scores}
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_slices(rows, work, f"key {kind}, lang_pred string, score double", rows=1024).withColumnRenamed("key", key)
+    return map_slices(rows, work, f"key {kind}, lang_pred string, score double", rows=JUDGED_ROWS).withColumnRenamed("key", key)
 
 
 def identified(docs: DataFrame, automata: dict[str, Automaton], text: str = "text") -> DataFrame:
@@ -208,8 +295,8 @@ def identified(docs: DataFrame, automata: dict[str, Automaton], text: str = "tex
     model = Model(automata)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1024):
-            found, _ = model.parser.judge(part.column(text).to_pylist())
+        for part in slices(batches, JUDGED_ROWS):
+            found, _ = model.judge(part.column(text))
             yield part.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

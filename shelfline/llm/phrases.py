@@ -34,7 +34,7 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 #: A phrase is left out if a longer one around it has this share of its frequency, in percent.
 ABSORBED_PERCENT = 100
 #: Words in a part; suffixes of a group of prefixes (a group may exceed it by one prefix that is not larger).
-PART_WORDS, GROUP_SUFFIXES = 1 << 20, 1 << 20
+PART_WORDS, GROUP_SUFFIXES = 1 << 19, 1 << 19
 #: Frequent words that are broadcast at most; more of them meet the parts in a join.
 BROADCAST_WORDS = 1 << 20
 #: What ends a piece; letters of which only A to Z are made small.

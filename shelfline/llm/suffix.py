@@ -42,11 +42,15 @@ WINDOW = 50
 GRAM = 20
 #: Bytes of text in a part, on average, and string starts looked at together within it.
 PART_BYTES, BLOCK = 8 << 20, 1 << 19
+#: Bytes of text whose anchors meet in a bucket, on average.
+BUCKET_BYTES = 16 << 20
+#: Bits of an anchor's name that tell its bucket; the others tell it apart from the bucket's other anchors.
+BUCKET_BITS, NAME_BITS = 24, 40
 #: Bytes before an anchor, or the rest of the window behind it, in which texts must agree to meet.
 LEFT = 15
 #: A null key.
 LAST = np.iinfo(np.int64).max
-LOW = np.uint64((1 << 48) - 1)
+LOW = np.uint64((1 << NAME_BITS) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,8 +131,8 @@ class Fragments:
         last = np.flatnonzero(close)
         anchor = anchor[first]
         spread = mixed(hashes[anchor])  # anchors are those that hash low
-        bucket = ((spread >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-        name = (bucket << np.uint64(48)) | (spread & LOW)
+        bucket = ((spread >> np.uint64(NAME_BITS)) * np.uint64(buckets)) >> np.uint64(BUCKET_BITS)
+        name = (bucket << np.uint64(NAME_BITS)) | (spread & LOW)
         if wanted is not None:
             if not len(wanted):
                 at = np.empty(0, np.int64)
@@ -176,19 +180,21 @@ def groups_of(x: np.ndarray) -> np.ndarray:
 
 def to_buckets(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The buckets of sorted names, and where each begins and ends."""
-    bucket = (names >> np.uint64(48)).astype(np.int64)
+    bucket = (names >> np.uint64(NAME_BITS)).astype(np.int64)
     starts = groups_of(bucket)
     return bucket[starts], starts, np.append(starts, len(names))[1:]
 
 
-def six_bytes(names: np.ndarray) -> bytes:
-    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def to_bytes(names: np.ndarray) -> bytes:
+    """Names of one bucket without the bits that tell it."""
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BITS // 8].tobytes()
 
 
-def from_six_bytes(packed: bytes, bucket: int) -> np.ndarray:
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel() | np.uint64(bucket << 48)
+def from_bytes(packed: bytes, bucket: int) -> np.ndarray:
+    size = NAME_BITS // 8
+    wide = np.zeros((len(packed) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(packed, np.uint8).reshape(-1, size)
+    return wide.view("<u8").ravel() | np.uint64(bucket << NAME_BITS)
 
 
 def shared_strings(texts: list[bytes], anchors: list[int], keys: list[int]) -> list[list[int]]:
@@ -274,14 +280,14 @@ def send_anchors(buckets: int):
         part = table.column("part")[0].as_py()
         return pa.table({
             "bucket": pa.array(bucket, pa.int32()), "part": pa.array([part] * len(bucket), pa.int32()),
-            "names": pa.array([six_bytes(names[b:e]) for b, e in zip(begin, end)], pa.binary()),
+            "names": pa.array([to_bytes(names[b:e]) for b, e in zip(begin, end)], pa.binary()),
             "several": pa.array([np.packbits(several[b:e]).tobytes() for b, e in zip(begin, end)], pa.binary())})
     return work
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    names = [from_six_bytes(x["names"], x["bucket"]) for x in rows]
+    names = [from_bytes(x["names"], x["bucket"]) for x in rows]
     several = [np.unpackbits(np.frombuffer(x["several"], np.uint8), count=len(n)) for x, n in zip(rows, names)]
     every = np.sort(np.concatenate(names + [n[s == 1] for n, s in zip(names, several)]))
     starts = groups_of(every)
@@ -289,12 +295,12 @@ def answer_anchors(table: pa.Table) -> pa.Table:
     kept = [np.intersect1d(n, twice, assume_unique=True) for n in names]
     return pa.table({"part": pa.array([x["part"] for x in rows], pa.int32()),
                      "bucket": pa.array([x["bucket"] for x in rows], pa.int32()),
-                     "names": pa.array([six_bytes(n) for n in kept], pa.binary())})
+                     "names": pa.array([to_bytes(n) for n in kept], pa.binary())})
 
 
 def wanted_names(table: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate([np.empty(0, np.uint64)] + [
-        from_six_bytes(x["names"], x["bucket"]) for x in table.to_pylist()]))
+        from_bytes(x["names"], x["bucket"]) for x in table.to_pylist()]))
 
 
 SENT = "bucket int, part int, names binary, texts binary, keys binary, sizes binary, anchors binary, content binary"
@@ -409,32 +415,37 @@ def drop_repeats(buckets: int):
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (),
-                    part_bytes: int = PART_BYTES) -> DataFrame:
+                    part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Columns key, those carried, n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (the rest).
 
-    key must be an integer column.
+    key must be an integer column; its largest value (2**63 - 1) counts as null.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = min(1 << 16, 1 + size // part_bytes)
+    parts, buckets = 1 + size // part_bytes, 1 + size // bucket_bytes
+    if buckets > 1 << BUCKET_BITS:
+        raise ValueError("more buckets than their bits tell apart; use larger ones")
     dealt = docs.select(F.struct(key, *carried).alias("row"), F.col(key).cast("bigint").alias("key"),
                         whole_text(text).cast("binary").alias("data")).withColumn(
         "part", F.pmod(F.xxhash64("key", "data"), F.lit(parts)).cast("int"))
     by_part = dealt.groupBy("part")
-    anchors = by_part.applyInArrow(send_anchors(parts), "bucket int, part int, names binary, several binary")
+    anchors = by_part.applyInArrow(send_anchors(buckets), "bucket int, part int, names binary, several binary")
     replies = anchors.groupBy("bucket").applyInArrow(answer_anchors, "part int, bucket int, names binary")
-    fragments = by_part.cogroup(replies.groupBy("part")).applyInArrow(send_fragments(parts), SENT)
+    fragments = by_part.cogroup(replies.groupBy("part")).applyInArrow(send_fragments(buckets), SENT)
     found = fragments.groupBy("bucket").applyInArrow(sort_fragments, FOUND)
     row = dealt.schema["row"].dataType.simpleString()
     result = by_part.cogroup(found.groupBy("part")).applyInArrow(
-        drop_repeats(parts), f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+        drop_repeats(buckets), f"row {row}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return result.select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def as_text(kept: str = "kept") -> Column:
-    """The remaining bytes as text. A removed passage may begin or end within a character; its other bytes go too."""
-    replaced = F.make_valid_utf8(F.col(kept).cast("string"))
-    return F.when(F.is_valid_utf8(F.col(kept).cast("string")), F.col(kept).cast("string")).otherwise(
-        F.translate(replaced, "\ufffd", ""))
+    """The remaining bytes as text. A removed passage may begin or end within a character; its other bytes go too, while
+    replacement characters that the text has itself stay: they are written otherwise as long as broken ones are dropped."""
+    raw, own, mark = F.col(kept).cast("string"), "\ufffd", "\x01"
+    held = F.replace(F.replace(raw, F.lit(mark), F.lit(mark + "\x02")), F.lit(own), F.lit(mark + "\x03"))
+    whole = F.translate(F.make_valid_utf8(held), own, "")
+    back = F.replace(F.replace(whole, F.lit(mark + "\x03"), F.lit(own)), F.lit(mark + "\x02"), F.lit(mark))
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(back)
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:

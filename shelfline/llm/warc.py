@@ -1,17 +1,20 @@
 """WARC archives: writing captures as request, response and metadata records, and assembling them again.
 
 Each page becomes three records. The response has the payload; where an earlier page has the same payload, a revisit
-record with the payload's digest and HTTP header stands in its place. Request and metadata name the response in
-WARC-Concurrent-To. Spark's text writer writes the archives, a record per row and the end of a record as line
-separator, so the files are compressed, committed and kept on whatever store the folder is on.
+record with the payload's digest and HTTP header stands in its place and names that page's response in WARC-Refers-To. Request and
+metadata name the response in WARC-Concurrent-To. Each record is a gzip member of its own, so that it can be read
+alone from its place in the archive. Spark's text writer writes the archives, a member a row, so the files are committed and kept
+on whatever store the folder is on; what it puts between rows is the empty gzip member. A file holds FILE_BYTES of
+compressed records, or one record that is larger.
 
 Archives are read as binary files and cut by Content-Length, so a payload may contain anything. Records of a transaction may lie in
-different files; they meet by the identifier of the response. One row per capture comes out.
+different files; they meet by the identifier of the response. One row per capture comes out, with its payload; a
+revisit has the record and the metadata of the response that it refers to.
 
 A null payload counts as an empty one. A null or empty address has no target header. Line breaks in an address are
 percent-encoded. Rows with the same payload and the same smallest page_id are all responses; a null page_id never is
-the smallest. Repeated rows are captures of their own. Of a transaction without its request or metadata, these
-parts are null.
+the smallest. Repeated rows are captures of their own; revisits refer to one of the responses. Of a transaction without its request
+or metadata, these parts are null, and so is the original of a revisit whose response is not there.
 """
 
 from __future__ import annotations
@@ -19,26 +22,30 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
-from uuid import uuid4
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import shared_folder, whole_text
+from shelfline.llm.common import new_folder, slices, stored, whole_text
 
 #: Smaller payloads are always stored.
 LEAST_REVISIT_BYTES = 100
-#: Records in a file at most.
-FILE_RECORDS = 30_000
+#: Compressed bytes of a file, but for the last record in it.
+FILE_BYTES = 64 << 20
+#: Digests of repeated payloads that are broadcast at most; more of them meet the pages in a join.
+BROADCAST_DIGESTS = 500_000
+#: What stands between the members: one without content.
+BETWEEN = gzip.compress(b"", mtime=0)
 #: Bytes of records that the reader hands on at a time.
 BATCH_BYTES = 8 << 20
 #: The date of captures whose table has none.
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
+EMPTY_LINES = b"\r\n\r\n"
 
 RECORD = ("record_id string, type string, concurrent_to string, target_uri string, date string, "
-          "payload_digest string, http_length bigint, fields map<string,string>, block_bytes bigint, payload binary")
+          "payload_digest string, refers_to string, http_length bigint, fields map<string,string>, block_bytes bigint, "
+          "payload binary")
 
 
 def record(kind: str, identifier: Column, block: Column, content: str, *headers: Column) -> Column:
@@ -49,24 +56,38 @@ def record(kind: str, identifier: Column, block: Column, content: str, *headers:
     return F.concat(lines, F.lit(END * 2), block)
 
 
-def with_first_pages(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
-    """Pages with the digest of their payload and, where it is stored by an earlier page, that page's key."""
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), whole_text(payload).alias("html"))
+def with_first_pages(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url",
+                     broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """Pages with the digest of their payload, whether another page has it already (again), and whether revisits refer to
+    this row (original)."""
+    place = F.monotonically_increasing_id()  # of the scan: the same whenever and by whomever it is read
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), whole_text(payload).alias("html"), place.alias("place"))
     keyed = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn(
         "digest", F.sha2(F.col("html").cast("binary"), 256))
-    repeated = keyed.filter(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return keyed.join(repeated, "digest", "left").withColumn(
-        "refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))).drop("first")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place"))
+    repeated = stored(keyed.filter(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(
+        F.min(known).alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies"), "digests")
+    few = repeated.count() <= broadcast_digests
+    found = keyed.join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("first.page_id"))
+    return found.withColumn("again", F.coalesce(F.col("first").isNotNull() & later, F.lit(False))).withColumn(
+        "original", F.coalesce(F.col("place") == F.col("first.place"), F.lit(False))).drop("first", "place")
+
+
+def identifier_of(digest: Column) -> Column:
+    """The name of the record that holds a repeated payload, as a UUID made of its digest."""
+    part = lambda start, size: F.substring(digest, start, size)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
 
 
 def archive_records(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """The records of pages with digest and refers_to, one row each."""
+    """The records of pages with what `with_first_pages` tells, one row each."""
     address = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     target = F.when(F.length("url") > 0, F.concat(F.lit("WARC-Target-URI: "), address))
     dated = F.lit(f"WARC-Date: {date}")
     named = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
-    rows = pages.withColumns({n: F.expr("uuid()") for n in ("response_id", "request_id", "metadata_id")})
+    rows = pages.withColumns({n: F.expr("uuid()") for n in ("request_id", "metadata_id")}).withColumn(
+        "response_id", F.when(F.col("original"), identifier_of(F.col("digest"))).otherwise(F.expr("uuid()")))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     together = F.concat(F.lit("WARC-Concurrent-To: "), named(F.col("response_id")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
@@ -74,13 +95,14 @@ def archive_records(pages: DataFrame, date: str = DATE) -> DataFrame:
     path = F.coalesce(F.regexp_extract(address, "^[a-zA-Z]+://[^/]*(/[^ #]*)", 1), F.lit(""))
     asked = F.concat(F.lit("GET "), F.when(path == "", "/").otherwise(path), F.lit(f" HTTP/1.1{END}Host: "),
                      F.coalesce(F.regexp_extract(address, "^[a-zA-Z]+://([^/]*)", 1), F.lit("")), F.lit(END * 2))
-    fields = F.concat_ws(END, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")),
-                         F.concat(F.lit("refers-to-page-id: "), F.col("refers_to").cast("string")), F.lit(""))
+    fields = F.concat_ws(END, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit(""))
+    refers = F.concat(F.lit("WARC-Refers-To: "), named(identifier_of(F.col("digest"))))
     profile = F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    main = F.when(F.col("refers_to").isNull(), record(
+    main = F.when(~F.col("again"), record(
         "response", named(F.col("response_id")), F.concat(http, F.col("html")), "application/http;msgtype=response",
         dated, target, digest)).otherwise(record(
-            "revisit", named(F.col("response_id")), http, "application/http;msgtype=response", dated, target, digest, profile))
+            "revisit", named(F.col("response_id")), http, "application/http;msgtype=response", dated, target, digest, profile,
+            refers))
     return rows.select(F.explode(F.array(
         record("request", named(F.col("request_id")), asked, "application/http;msgtype=request", dated, target, together),
         main,
@@ -88,10 +110,23 @@ def archive_records(pages: DataFrame, date: str = DATE) -> DataFrame:
     )).alias("value"))
 
 
-def write_archives(records: DataFrame, folder: str, file_records: int = FILE_RECORDS) -> None:
-    """Records as compressed archives in a new folder that all executors see."""
-    (records.write.option("lineSep", END * 2).option("compression", "gzip")
-     .option("maxRecordsPerFile", file_records).text(folder))
+def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
+    """Records as archives in a new folder that all executors see."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume, size = 0, 0
+        for part in slices(batches):
+            members, volumes = [], []
+            for value in part.column("value"):
+                members.append(gzip.compress(value.as_py() + EMPTY_LINES, mtime=0))
+                if size and size + len(members[-1]) > file_bytes:
+                    volume, size = volume + 1, 0
+                volumes.append(volume)
+                size += len(members[-1]) + len(BETWEEN)
+            yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(members, pa.binary())], names=["volume", "value"])
+
+    packed = records.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "volume int, value binary")
+    (packed.select("volume", F.col("value").cast("string").alias("value")).write.partitionBy("volume")
+     .option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).text(folder))
 
 
 def headers_of(file: io.BufferedIOBase) -> dict[str, str] | None:
@@ -137,7 +172,7 @@ def parse_archive(content: bytes) -> Iterator[dict]:
         yield {"record_id": headers.get("warc-record-id"), "type": kind,
                "concurrent_to": headers.get("warc-concurrent-to"), "target_uri": headers.get("warc-target-uri"),
                "date": headers.get("warc-date"), "payload_digest": digest.partition(":")[2] if digest else None,
-               "http_length": length, "fields": list(fields.items()) if fields is not None else None,
+               "refers_to": headers.get("warc-refers-to"), "http_length": length, "fields": list(fields.items()) if fields is not None else None,
                "block_bytes": size, "payload": payload}
 
 
@@ -168,39 +203,44 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: what the records that are concurrent with one response say together.
 
-    Columns of records that are not asked for afterwards are not shuffled.
+    The digest and the length are of the payload itself where there is one. Parts that are not asked for afterwards are not
+    shuffled.
     """
-    main = F.col("type").isin("response", "revisit")
+    main, body = F.col("type").isin("response", "revisit"), F.col("payload").isNotNull()
     of = lambda kind, name: F.max(F.when(F.col("type") == kind, F.col(name)))
     response = lambda name: F.max(F.when(main, F.col(name)))
-    rows = records.filter(F.col("type").isin("request", "response", "revisit", "metadata")).withColumn(
-        "capture_id", F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))).withColumn(
-        "pairs", F.array_sort(F.map_entries("fields")))
+    rows = records.filter(F.col("type").isin("request", "response", "revisit", "metadata")).withColumns({
+        "capture_id": F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")),
+        "pairs": F.array_sort(F.map_entries("fields")),
+        "digest": F.when(body, F.sha2("payload", 256)).otherwise(F.col("payload_digest")),
+        "length": F.when(body, F.octet_length("payload").cast("long")).otherwise(F.col("http_length"))})
     met = rows.groupBy("capture_id").agg(
         response("target_uri").alias("target_uri"), response("date").alias("date"),
         of("request", "record_id").alias("request_id"), of("request", "pairs").alias("request_headers"),
-        response("type").alias("type"), response("payload_digest").alias("digest"),
-        response("http_length").alias("length"), response("payload").alias("payload"),
+        response("type").alias("type"), response("digest").alias("digest"), response("length").alias("length"),
+        response("refers_to").alias("refers_to"), response("payload").alias("payload"),
         of("metadata", "record_id").alias("metadata_id"), of("metadata", "pairs").alias("metadata_fields"))
     return met.select(
         "capture_id", "target_uri", "date",
         F.struct(F.col("request_id").alias("record_id"), F.map_from_entries("request_headers").alias("headers")).alias("request"),
-        F.struct("type", "digest", "length", "payload").alias("response"),
+        F.struct("type", "digest", "length", "refers_to", "payload").alias("response"),
         F.struct(F.col("metadata_id").alias("record_id"), F.map_from_entries("metadata_fields").alias("fields")).alias("metadata"))
 
 
+def with_originals(captures: DataFrame) -> DataFrame:
+    """captures, which should be stored, with original: what a revisit refers to (its address, date and metadata)."""
+    held = captures.filter(F.col("response.type") == "response").select(
+        F.col("capture_id").alias("_refers_to"), F.struct("capture_id", "target_uri", "date", "metadata").alias("original"))
+    return captures.join(held, F.col("response.refers_to") == F.col("_refers_to"), "left").drop("_refers_to")
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back, and tell what each page's capture holds."""
     spark = pages.sparkSession
-    folder = f"{shared_folder(spark)}/warc-{uuid4().hex}"
+    folder = new_folder(spark, "warc")
     write_archives(archive_records(with_first_pages(pages)), folder)
-    stored = F.col("type") == "response"
-    records = read_records(spark, folder).withColumns({  # of the payload itself where there is one
-        "payload_digest": F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")),
-        "http_length": F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("http_length"))}).withColumn(
-        "payload", F.lit(None).cast("binary"))
-    fields = F.col("metadata.fields")
-    return assemble(records).select(
-        fields["page-id"].cast("long").alias("page_id"), F.col("response.length").alias("payload_bytes"),
+    captures = with_originals(stored(assemble(read_records(spark, folder)), "captures"))
+    return captures.select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("response.length").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
-        fields["refers-to-page-id"].cast("long").alias("refers_to"))
+        F.col("original.metadata.fields")["page-id"].cast("long").alias("refers_to"))

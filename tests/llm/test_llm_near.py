@@ -67,6 +67,16 @@ def test_no_repeats(nothing, spark):
     assert suffix.removal_digest(nothing).count() == 0
     cut = spark.createDataFrame([(bytearray("é".encode()[1:] + b"ab" + "中".encode()[:2]),)], "kept binary")
     assert cut.select(suffix.as_text().alias("x")).first().x == "ab"
+    own = "\ufffda\x01\x02\x01\x03\ufffd"
+    cut = spark.createDataFrame([(bytearray("é".encode()[1:] + own.encode() + "中".encode()[:2]),)], "kept binary")
+    assert cut.select(suffix.as_text().alias("x")).first().x == own
+
+
+@pytest.mark.parametrize("bucket_bytes", [1000, 40_000])
+def test_buckets_do_not_depend_on_parts(tricky, pairs, bucket_bytes):
+    found = suffix.without_repeats(tricky, part_bytes=5000, bucket_bytes=bucket_bytes).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found) \
+        == Counter(removed(pairs))
 
 
 def plain_fingerprint(text: str) -> int:

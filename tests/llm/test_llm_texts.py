@@ -6,9 +6,11 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
+from llm_samples import prose
 
 from shelfline.llm import langid, pii, quality, warc
 
@@ -21,28 +23,60 @@ def documents(spark):
 
 
 def plain_phrases(text: bytes, learned: list[bytes]) -> int:
-    """Longest matches in any learned text, blocks on their own."""
-    count = 0
-    for start in range(0, len(text), langid.BLOCK):
-        block = text[start:start + langid.BLOCK]
-        n = 0
-        while n < len(block):
-            k = 1
-            while n + k < len(block) and any(block[n:n + k + 1] in x for x in learned):
-                k += 1
-            n, count = n + k, count + 1
+    """Longest matches in any learned text, from the first symbol to the last."""
+    n = count = 0
+    while n < len(text):
+        k = 1
+        while n + k < len(text) and any(text[n:n + k + 1] in x for x in learned):
+            k += 1
+        n, count = n + k, count + 1
     return count
 
 
-def test_cross_parsing_is_the_plain_one():
-    rng = random.Random(1)
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 512])
+def test_cross_parsing_is_the_plain_one(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(block)
     words = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
-    learned = {"a": [words("abc ", 300), words("abc ", 50)], "b": [words("bcd ", 200)]}
+    learned = {"a": [words("abc ", 300), words("abc ", 50), b"ab" * 200], "b": [words("bcd ", 200), b"x" * 300]}
     parser = langid.Parser({n: langid.suffix_automaton(x) for n, x in learned.items()})
     texts = [words("abcd ", n) for n in (0, 1, 5, 100, 511, 512, 513, 1400)]
+    texts += [b"ab" * 700, b"x" * 1500, b"q" * 600, b"ab" * 90 + b"x" * 700 + b"ba" * 300, learned["a"][0] + learned["a"][0][40:]]
     assert parser.phrases(texts).tolist() == [[plain_phrases(x, learned[n]) for n in ("a", "b")] for x in texts]
 
 
+def test_labels_are_parsed_group_after_group(spark):
+    """Sixty labels, each with words of its own; one group, some groups, or a group for each label give the same rows."""
+    rows = []
+    for n in range(60):
+        words = [prose(1000 + n, 1) + str(chr(97 + n % 26)) * 2 for _ in range(12)]
+        rng = random.Random(n)
+        rows += [(60 * k + n, " ".join(rng.choice(words) + prose(n * 7 + rng.randint(0, 5), 1) for _ in range(60)), f"l{n:02d}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    automata = langid.fit(docs)
+    assert len(automata) == 60
+    texts = [t for _, t, _ in rows]
+    import pyarrow as pa
+
+    found = [langid.Model(automata, entries).judge(pa.array(texts)) for entries in (1 << 30, 1 << 21, 1)]
+    assert found[0] == found[1] == found[2]
+    assert len(langid.Model(automata, 1).groups) == 60 and 1 < len(langid.Model(automata, 1 << 21).groups) < 60
+    held = [r for r in langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.9 * len(held) > 0
+
+
+def test_windows_come_from_the_whole_text(spark):
+    """Texts that begin alike in both languages and differ far behind their start."""
+    head = prose(1, 400)
+    rows = [(n, head + " " + prose(2 if n % 2 else 3, 300) + " " + prose(10 + n, 300).replace("e", "u" if n % 2 else "o"),
+             "a" if n % 2 else "b") for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = {name: a.length for name, a in langid.fit(docs, windows=16, chars=100).items()}
+    assert all(1000 < n <= 16 * 101 for n in learned.values())
+    held = [r for r in langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    assert held and all(r.lang == r.lang_pred for r in held)
+
+
 def test_held_out_accuracy(documents):
     rows = langid.languages(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     held = [r.lang == r.lang_pred for r in rows if r.held_out]
@@ -183,15 +217,84 @@ def test_archives(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def archives(folder) -> list[bytes]:
+    return [p.read_bytes() for p in sorted(folder.rglob("part-*"))]
+
+
+def members(content: bytes) -> list[tuple[int, bytes]]:
+    """Each gzip member that has content, with its place."""
+    found, place = [], 0
+    while place < len(content):
+        one = zlib.decompressobj(wbits=31)
+        data = one.decompress(content[place:])
+        assert one.eof
+        if data:
+            found.append((place, data))
+        place = len(content) - len(one.unused_data)
+    return found
+
+
 def test_captures_are_nested(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a.b/c", "<p>hi")], "page_id bigint, url string, html string")
+    same = "<p>" + "x" * 200
+    rows = [(1, "http://a.b/c", "<p>hi"), (2, "http://a.b/d", same), (3, "http://a.b/e", same)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     folder = str(tmp_path / "warc")
     warc.write_archives(warc.archive_records(warc.with_first_pages(pages)), folder)
-    row = warc.assemble(warc.read_records(spark, folder)).first()
-    assert row.target_uri == "http://a.b/c" and row.response.payload == b"<p>hi" and row.metadata.fields["page-id"] == "1"
+    found = {r.metadata.fields["page-id"]: r for r in warc.with_originals(warc.assemble(warc.read_records(spark, folder))).collect()}
+    row = found["1"]
+    assert row.target_uri == "http://a.b/c" and row.response.payload == b"<p>hi" and row.original is None
     assert row.request.headers["host"] == "a.b"
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("part-*"))
-    assert raw.count(b"WARC/1.1\r\n") == 3 and raw.endswith(b"\r\n\r\n")
+    assert found["2"].response.payload == same.encode()
+    assert found["3"].response.payload is None and found["3"].response.refers_to == found["2"].capture_id
+    assert found["3"].original.target_uri == "http://a.b/d" and found["3"].original.metadata.fields["page-id"] == "2"
+    held = archives(tmp_path / "warc")
+    assert b"".join(map(gzip.decompress, held)).count(b"WARC/1.1\r\n") == 9
+    for content in held:
+        for place, data in members(content):
+            alone = list(warc.parse_archive(zlib.decompressobj(wbits=31).decompress(content[place:])))
+            assert len(alone) == 1 and data.endswith(b"\r\n\r\n") and f"<{alone[0]['record_id'][1:-1]}>".encode() in data
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    rows = [(n, f"http://a.b/{n}", rng.randbytes(rng.choice([10, 300, 9000])).hex()) for n in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    folder = str(tmp_path / "warc")
+    warc.write_archives(warc.archive_records(warc.with_first_pages(pages)), folder, file_bytes=50_000)
+    held = archives(tmp_path / "warc")
+    assert len(held) > 10 and all(len(x) <= 50_000 or len(members(x)) == 1 for x in held)
+    found = warc.assemble(warc.read_records(spark, folder)).select("response.payload").collect()
+    assert Counter(r.payload.decode() for r in found) == Counter(h for *_, h in rows)
+    one = spark.createDataFrame([(1, "http://a.b", "y" * 3_000_000)], "page_id bigint, url string, html string")
+    assert warc.archive_round_trip(one).first().payload_bytes == 3_000_000
+
+
+def test_archives_of_others_resolve(spark, tmp_path):
+    """Records in other files and in any order, without compression; a revisit of a response that is not there."""
+    def record(kind, name, block, **headers):
+        lines = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: <{name}>".encode(),
+                 *(f"{k.replace('_', '-')}: {v}".encode() for k, v in headers.items()), f"Content-Length: {len(block)}".encode()]
+        return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    (tmp_path / "part-1").write_bytes(record("warcinfo", "i", b"x: y\r\n") + record("revisit", "b", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<a>")
+                                      + record("revisit", "c", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<gone>"))
+    (tmp_path / "part-2").write_bytes(gzip.compress(record("metadata", "m", b"page-id: 7\r\n", WARC_Concurrent_To="<a>"))
+                                      + gzip.compress(record("response", "a", b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\n\r\n")))
+    found = {r.capture_id: r for r in warc.with_originals(warc.assemble(warc.read_records(spark, str(tmp_path)))).collect()}
+    assert found["<a>"].response.payload == b"WARC/1.1\r\n\r\n"
+    assert found["<b>"].original.metadata.fields["page-id"] == "7" and found["<c>"].original is None
+
+
+@pytest.mark.parametrize("broadcast_digests", [0, 500_000])
+def test_repeated_payloads_by_either_join(spark, broadcast_digests):
+    rows = [(n, "u", f"payload {n % 3} " * 20) for n in range(30)] + [(None, "u", "payload 1 " * 20), (3, "u", "payload 0 " * 20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    found = warc.with_first_pages(pages, broadcast_digests=broadcast_digests).collect()
+    assert Counter((r.page_id, r.again) for r in found) == Counter(
+        (k, k is None or k > int(h.split()[1])) for k, _, h in rows)
+    assert sorted(r.page_id for r in found if r.original) == [0, 1, 2]
 
 
 def test_broken_archive():
