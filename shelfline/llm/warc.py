@@ -23,7 +23,7 @@ import gzip
 import io
 from collections.abc import Iterator
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import new_folder, slices, stored, whole_text
@@ -60,18 +60,25 @@ def with_first_pages(pages: DataFrame, payload: str = "html", key: str = "page_i
                      broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """Pages with the digest of their payload, whether another page has it already (again), and whether revisits refer to
     this row (original)."""
-    place = F.monotonically_increasing_id()  # of the scan: the same whenever and by whomever it is read
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), whole_text(payload).alias("html"), place.alias("place"))
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), whole_text(payload).alias("html"))
     keyed = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn(
         "digest", F.sha2(F.col("html").cast("binary"), 256))
-    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place"))
-    repeated = stored(keyed.filter(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(
-        F.min(known).alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies"), "digests")
+    large = keyed.filter(F.col("bytes") >= LEAST_REVISIT_BYTES)
+    counted = large.groupBy("digest", "page_id").agg(F.count("*").alias("rows"))
+    repeated = stored(counted.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.min_by("rows", "page_id").alias("firsts"), F.sum("rows").alias("copies")).filter(
+        "copies > 1 and first is not null").drop("copies"), "digests")
     few = repeated.count() <= broadcast_digests
     found = keyed.join(F.broadcast(repeated) if few else repeated, "digest", "left")
-    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("first.page_id"))
-    return found.withColumn("again", F.coalesce(F.col("first").isNotNull() & later, F.lit(False))).withColumn(
-        "original", F.coalesce(F.col("place") == F.col("first.place"), F.lit(False))).drop("first", "place")
+    is_first = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    again = F.col("first").isNotNull() & ~is_first
+    if repeated.filter("firsts > 1").isEmpty():
+        named = found.withColumn("original", is_first)
+    else:  # of repeated rows with the smallest key one is referred to
+        tied = is_first & (F.col("firsts") > 1)
+        one = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0))) == 1
+        named = found.filter(~tied).withColumn("original", is_first).unionByName(found.filter(tied).withColumn("original", one))
+    return named.withColumn("again", again).drop("first", "firsts")
 
 
 def identifier_of(digest: Column) -> Column:
@@ -118,10 +125,11 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
             members, volumes = [], []
             for value in part.column("value"):
                 members.append(gzip.compress(value.as_py() + EMPTY_LINES, mtime=0))
-                if size and size + len(members[-1]) > file_bytes:
+                own = len(members[-1]) + len(BETWEEN)
+                if size and size + own > file_bytes:
                     volume, size = volume + 1, 0
                 volumes.append(volume)
-                size += len(members[-1]) + len(BETWEEN)
+                size += own
             yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(members, pa.binary())], names=["volume", "value"])
 
     packed = records.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "volume int, value binary")
