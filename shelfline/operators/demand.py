@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline import messages
-from shelfline.functions.guards import holds, number, quoted, ratio, staged, windowed
+from shelfline.functions.guards import ended, holds, number, quoted, ratio, staged, windowed
 from shelfline.params import DEFAULTS, Params
 
 WEEKDAY_COLUMNS = [f"weekday_{k}" for k in range(7)]
@@ -165,7 +165,7 @@ def with_labels(profile: DataFrame, params: Params = DEFAULTS) -> DataFrame:
             "trend_significant": "trend <> 'STABLE'",
             "outlier_method": "case when observation_count < 2 then null "
                               "when upper_fence is not null then 'IQR' when mad > 0 then 'MAD' end",
-            "weekdays_observed": weekdays,
+            "weekdays_observed": ended(weekdays),
             "months_observed": months,
             "peak_weekday": _title_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, "greatest"),
             "drop_weekday": _title_of(WEEKDAY_COLUMNS, messages.WEEKDAYS, "least"),
