@@ -36,7 +36,7 @@ ABSORBED_PERCENT = 100
 #: Words in a part; suffixes of a group of prefixes (a group may exceed it by one prefix that is not larger).
 PART_WORDS, GROUP_SUFFIXES = 1 << 19, 1 << 19
 #: Frequent words that are broadcast at most; more of them meet the parts in a join.
-BROADCAST_WORDS = 1 << 20
+BROADCAST_WORDS = 1 << 18
 #: What ends a piece; letters of which only A to Z are made small.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BREAK = -1
