@@ -147,8 +147,8 @@ def method_sizes(spark, df) -> list[int]:
 
 
 @pytest.mark.parametrize("name", [
-    "reorder_report", "recommendations", "recommendation_reasons", "recommendation_reason_texts", "product_warnings",
-    "seasonality_summary", "scenario_results", "scenario_deltas", "enriched_reasons", "category_risk", "top_priorities"])
+    "reorder_report", "recommendations", "recommendation_reasons", "recommendation_reason_texts", "seasonality_summary",
+    "scenario_results", "scenario_deltas", "enriched_reasons", "category_risk", "top_priorities"])
 def test_generated_methods_are_small_enough_to_be_compiled(spark, name):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
