@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import map_slices, slices
 
 #: Windows of labelled text that are learned from for each language at most, and characters of each.
-SAMPLE_WINDOWS, WINDOW_CHARS = 64, 1000
+SAMPLE_WINDOWS, WINDOW_CHARS = 32, 1000
 #: Symbols of a text that are parsed together, and bytes of texts.
-BLOCK, TOGETHER_BYTES = 512, 4 << 20
+BLOCK, TOGETHER_BYTES = 512, 1 << 20
 #: Entries (four bytes each) of a table of automata.
 TABLE_ENTRIES = 1 << 26
 #: Rows that are judged by one group of languages before the next.
-JUDGED_ROWS = 10_000
+JUDGED_ROWS = 1024
 UNKNOWN = "und"
 
 
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
         windows: int = SAMPLE_WINDOWS, chars: int = WINDOW_CHARS) -> dict[str, Automaton]:
     """An automaton for each label of the rows that are not held out; windows x chars characters of each at most."""
     known = docs.filter((checksum(key) != 1) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("_key"))
+        F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("_key"))
     number = F.ceil(F.char_length("text") / chars).cast("int")
     each = known.select("label", "_key", number.alias("number")).filter("number > 0").select(
         "label", "_key", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("place"))
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     if not chosen:
         return {}
     wanted = docs.sparkSession.createDataFrame(chosen, "label string, _hash bigint, _key bigint, place int")
-    found = known.withColumn("label", F.col("label").cast("string")).join(F.broadcast(wanted), ["label", "_key"]).select(
+    found = known.join(F.broadcast(wanted), ["label", "_key"]).select(
         "label", "_hash", F.expr(f"substring(text, place * {chars} + 1, {chars})").alias("text"))
     by_label: dict[str, dict[int, str]] = {}
     for x in found.groupBy("label", "_hash").agg(F.min("text").alias("text")).collect():
