@@ -7,15 +7,15 @@ span: a plus and country code, the sign of an address, spaces within an address,
 form that the base patterns miss may look like one that they find.
 
 What the base patterns miss is unlabelled, not negative, and counts for little while boosted trees tell confirmed candidates from
-background, by format and by context. Background are the candidates that are of no valid form or of another kind, and random places of the sample: as any
-candidate may stand there by chance, a random place counts with its own context and with the formats of all
+background, by format and by context. Background are the candidates that are of no valid form or of another kind, and the words of all texts: as any
+candidate may stand there by chance, a word counts with its own context and with the formats of all
 candidates of the kind in their proportions. A kind's threshold is the lowest score from which on its precision is high enough,
 either as confirmed candidates are nearly all there, or as the background explains few of the unlabelled ones. Candidates
 that overlap a base span are not added again.
 
 Finding, describing, scoring and redacting are built-in functions. The trees are fitted on counts: features are binned,
-so candidates of the sample fall into a bounded number of cells, each with how many of its candidates the base
-patterns confirm, how many are unlabelled and how many are background. The sample holds SAMPLE_DOCS documents on average, chosen by hash.
+so the candidates of all texts fall into a bounded number of cells, each with how many of its candidates the base
+patterns confirm, how many are unlabelled and how many are background. Every candidate and every word of every text counts.
 
 Places are code points, the end is exclusive. They come from the lengths of what lies between matches, so no text is
 searched twice for one span. A null or empty text has no spans. Repeated rows are searched each for itself.
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import settled, whole_text
 
-#: Documents that the trees are fitted on, on average.
-SAMPLE_DOCS = 20_000
 #: Calibrated precision that a kind's threshold must reach, and candidates that must support it.
 PRECISION, SUPPORT = 0.97, 20
 TREES, SHRINKAGE = 24, 0.3
@@ -68,8 +66,12 @@ TELLING = {"email": "(?i)mail|contact|write", "ip": "(?i)ip|host|server|addr", "
 FORMAT = ("digits", "groups", "last", "fits")
 CONTEXT_FEATURES = ("telling", "before", "after")
 FEATURES = FORMAT + CONTEXT_FEATURES
-#: Random places of each document of the sample that show in what context any words stand.
+#: What the words of a text count as background, all together and on average: as many candidates.
 PLACES = 4
+#: What candidates have within them; near one, words may tell of it.
+SIGN = r"(?:[0-9@]|[(\[]at[)\]])"
+#: Where a word begins that has no sign within CONTEXT characters on either side.
+CLEAR = rf"(?<!\p{{L}})(?=\p{{L}})(?<!{SIGN}.{{0,{CONTEXT}}})(?!.{{0,{CONTEXT}}}{SIGN})"
 
 
 def only(hit: Column, characters: str) -> Column:
@@ -319,11 +321,9 @@ def calibrated_threshold(cells: list[dict]) -> float | None:
     return fit[0][0] - 1e-6 if fit else None
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict[str, Trees]:
-    """Trees by kind, from a sample of sample_docs documents on average."""
-    every = max(1, docs.count() // sample_docs)
-    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0) if every > 1 else docs
-    found = with_candidates(with_base(sample, text, key)).select(F.explode("candidates").alias("x"))
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> dict[str, Trees]:
+    """Trees by kind, from all documents."""
+    found = with_candidates(with_base(docs, text, key)).select(F.explode("candidates").alias("x"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     fits, known, confirmed = F.col("x.fits") == 1, F.col("x.known"), F.col("x.confirmed")
     cells = found.groupBy("x.kind", *(f"x.{n}" for n in FEATURES)).agg(
@@ -332,15 +332,15 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: i
     held: dict[str, dict[tuple, dict]] = {kind: {} for kind in KINDS}
     for c in cells:
         held[c["kind"]][tuple(c[n] for n in FEATURES)] = c.asDict() | {"random": 0.0}
-    for kind, contexts in random_places(sample, text, key).items():
+    for kind, contexts in word_contexts(docs, text).items():
         add_random(held[kind], contexts)
         for c in held[kind].values():
             c["n"] = c["yes"] + c["random"] + c["other"] + UNLABELLED * c["open"]
     return {kind: boost([held[kind][k] for k in sorted(held[kind])]) for kind in KINDS}
 
 
-def add_random(cells: dict[tuple, dict], contexts: dict[tuple, int]) -> None:
-    """Random places by their context, each with the formats of valid candidates in their proportions."""
+def add_random(cells: dict[tuple, dict], contexts: dict[tuple, float]) -> None:
+    """Words by their context, each with the formats of valid candidates in their proportions."""
     formats: dict[tuple, int] = {}
     for place, c in cells.items():
         if c["fits"]:
@@ -352,27 +352,31 @@ def add_random(cells: dict[tuple, dict], contexts: dict[tuple, int]) -> None:
             cells.setdefault(form + context, empty)["random"] += number * share / total
 
 
-def random_places(docs: DataFrame, text: str, key: str) -> dict[str, dict[tuple, int]]:
-    """For each kind how many random words of the sample stand in each context: a telling word before them, and the characters
-    beside them. Words with a digit or an address sign nearby are left out: the words before these may tell of what stands there."""
-    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).filter("text <> ''")
-    places = rows.select("key", "text", F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("n"))
-    size = F.char_length("text")
-    place = F.pmod(F.xxhash64("key", "n", size), size + 1).cast("int")
-    around = places.select(
-        F.substring("text", F.greatest(F.lit(1), place - CONTEXT), F.lit(2 * CONTEXT)).alias("near"),
-        F.regexp_replace(F.substring("text", F.greatest(F.lit(1), place - 4 * CONTEXT), F.least(
-            place, F.lit(4 * CONTEXT))), "[A-Za-z0-9]++$", "").alias("before"),  # back to the word's beginning
-        F.regexp_extract(F.substring("text", place + 1, F.lit(CONTEXT)), "^[A-Za-z0-9]*+(.?)", 1).alias("after"))
-    clear = settled(around.withColumn("before", F.right("before", F.lit(CONTEXT)))).filter(~F.col("near").rlike(r"[0-9@]|[(\[]at[)\]]"))
-    found: dict[str, dict[tuple, int]] = {}
-    for kind in KINDS:
-        named = [c.cast("int").alias(n) for n, c in zip(CONTEXT_FEATURES, context_features(kind, F.col("before"), F.col("after")))]
-        clear = clear.withColumn(kind, F.struct(*named))
-    for r in clear.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("context")) for k in KINDS))).alias(
-            "x")).groupBy("x.kind", "x.context").count().collect():  # bounded by the bins
-        found.setdefault(r["kind"], {})[tuple(r["context"])] = r["count"]
-    return {kind: found.get(kind, {}) for kind in KINDS}
+def told(kind: str) -> str:
+    """What holds where a telling word of the kind stands within the CONTEXT characters before."""
+    words = TELLING[kind].removeprefix("(?i)").split("|")
+    return "(?<=(?i:{}))".format("|".join(f"{word}.{{0,{CONTEXT - len(word)}}}" for word in words))
+
+
+def words_by_kind(docs: DataFrame, text: str) -> DataFrame:
+    """One row: texts that are not empty, their words, those far from any sign (clear), and for each kind how many of these a telling
+    word stands before."""
+    rows = docs.select(whole_text(text).alias("text")).filter("text <> ''")
+    number = lambda pattern: F.regexp_count("text", F.lit(f"(?s){pattern}"))
+    counted = rows.select(number(r"\p{L}++").alias("words"), number(CLEAR).alias("clear"), *(F.when(
+        F.col("text").rlike(TELLING[kind]), number(f"(?<!\\p{{L}})(?=\\p{{L}}){told(kind)}{CLEAR}")).otherwise(0).alias(kind)
+        for kind in KINDS))
+    return counted.agg(F.count("*").alias("texts"), *(
+        F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counted.columns))
+
+
+def word_contexts(docs: DataFrame, text: str) -> dict[str, dict[tuple, float]]:
+    """For each kind what the words of all texts that are clear of any sign count in each context. No letter or digit stands right before
+    a word or behind it, so that contexts differ by whether a telling word stands before."""
+    row = words_by_kind(docs, text).first()
+    each = PLACES * row["texts"] / row["words"] if row["words"] else 0.0
+    counts = {kind: {(0, 0, 0): row["clear"] - row[kind], (1, 0, 0): row[kind]} for kind in KINDS}
+    return {kind: {context: n * each for context, n in held.items() if n} for kind, held in counts.items()}
 
 
 def find(docs: DataFrame, trees: dict[str, Trees], text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from llm_samples import prose
 
@@ -85,3 +86,42 @@ def test_precision_and_recall_of_added_spans(spark):
         assert len(added & right) >= 0.95 * len(right)
         assert len(added & right) >= 0.95 * len(added)
         assert not added & {(n, x) for n, x in unlike.items()}
+
+
+def test_all_documents_count_however_many_there_are(spark):
+    """What confirms the added numbers stands in documents that a half chosen by hash would leave out."""
+    rng, text = random.Random(6), []
+    for n in range(400):
+        number = f"{rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(2000, 9999)}"
+        lead = "phone +1 (" if n % 2 else "please call ("
+        text.append((n, f"{prose(n, 10)} {lead}{number} {prose(n + 900, 10)}"))
+    told = spark.createDataFrame(text, "n bigint, text string")
+    left_out = spark.range(2000).filter("pmod(xxhash64(id), 2) = 1").limit(400).rdd.map(lambda r: r.id).zipWithIndex().toDF(["doc_id", "n"])
+    plain = spark.range(5000, 46_000).selectExpr("id as doc_id", "'stone over water' as text")
+    docs = told.join(left_out, "n").select("doc_id", "text").unionByName(plain)
+    found = pii.find(docs, pii.fit(docs)).filter("doc_id < 5000").selectExpr(
+        "count(*)", "sum(size(base))", "sum(size(spans))").first()
+    assert tuple(found) == (400, 200, 400)
+
+
+def test_every_word_counts_as_background(spark):
+    """The counts of words by context, against a plain search of every word."""
+    rng, texts = random.Random(7), ["", "no", "mail", "é call ßet\nfax x", "a@b c", "visa " * 30]
+    choices = ["call", "email:", "card", "host", "stone", "wärme", "12", "x@y.de", "(at)", "-", "\n", "ip", "CALL,"]
+    for n in range(60):
+        texts.append(" ".join(rng.choice(choices[4:6] + choices if n % 2 else choices[:6]) for _ in range(n * 3)))
+    wanted = dict.fromkeys(["texts", "words", "clear", *pii.KINDS], 0)
+    for text in texts:
+        wanted["texts"] += text != ""
+        for word in re.finditer(r"[^\W\d_]+", text):
+            start = word.start()
+            wanted["words"] += 1
+            signs = [x for x in re.finditer(r"[0-9@]|[(\[]at[)\]]", text)
+                     if start <= x.start() <= start + pii.CONTEXT or start - pii.CONTEXT <= x.end() <= start]
+            if not signs:
+                wanted["clear"] += 1
+                for kind in pii.KINDS:
+                    wanted[kind] += bool(re.search(pii.TELLING[kind], text[max(0, start - pii.CONTEXT):start]))
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id bigint, text string")
+    assert pii.words_by_kind(docs, "text").first().asDict() == wanted
+    assert wanted["clear"] > 500 and all(wanted[kind] for kind in pii.KINDS)
