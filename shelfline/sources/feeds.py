@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.schema import INPUT_SCHEMA, POSITION, positioned
+from shelfline.schema import INPUT_SCHEMA, POSITION, file_order, positioned
 
 # The texts that common CSV tooling reads as "missing".
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, path: str, date_format: str | None = None,
         F.raise_error(F.lit("a CSV record has more fields than its header")).cast("boolean")))
     columns = [F.when(~F.col(f"`{name}`").isin(MISSING_TEXTS), F.col(f"`{name}`")).alias(name)
                for name in names]
-    place = F.struct(F.col("_metadata.file_path").alias("file"),
+    place = F.struct(file_order(raw).alias("file"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row"))
     table = raw.select(*columns, place.alias(POSITION))

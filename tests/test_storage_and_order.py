@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import daily as days
 from shelfline.plans import catalog
-from shelfline.schema import POSITION, REQUIRED_COLUMNS, typed
+from shelfline.schema import POSITION, REQUIRED_COLUMNS, file_order, typed
 from shelfline.sources import store
 from shelfline.sources.feeds import read_csv, read_parquet, read_table
 
@@ -135,3 +135,21 @@ def test_a_lifetime_ends_with_an_error_too(spark):
         store.stored(spark.range(5), "numbers")
         raise ZeroDivisionError
     assert not files(folder.removeprefix("file:"))
+
+
+def test_positions_are_short_and_in_the_order_of_the_paths(spark, tmp_path):
+    """Names of which one begins another, with signs that paths write otherwise, in folders; a single file; files of one write."""
+    for name in ("b c", "a", "a.x", "é#1", "d%/a.x", "d%/é", "d/a"):
+        path = tmp_path / "odd" / f"{name}.csv"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"{HEADER}\n2024-01-01,p,{name},1,1,5,10,s,7\n")
+    feed = spark.read.option("recursiveFileLookup", True).option("header", True).csv(str(tmp_path / "odd"))
+    rows = feed.select(F.col("_metadata.file_path").alias("path"), file_order(feed).alias("short")).collect()
+    assert len({r.short for r in rows}) == len(rows) == 7
+    assert [r.short for r in sorted(rows, key=lambda r: r.path.encode())] == sorted((r.short for r in rows), key=str.encode)
+    assert max(len(r.short) for r in rows) < 12
+    one = read_csv(spark, str(tmp_path / "odd" / "a.csv"))
+    assert [r[POSITION].file for r in one.collect()] == [""]
+    spark.range(40).repartition(20).write.parquet(str(tmp_path / "many"))
+    files = [r.file for r in read_parquet(spark, str(tmp_path / "many")).select(f"{POSITION}.file").distinct().collect()]
+    assert len(files) >= 10 and max(map(len, files)) <= 2
