@@ -33,6 +33,9 @@ CAPACITY = 4096
 END_ID = 2
 #: Words that a worker remembers; it forgets all of them beyond this.
 REMEMBERED = 600_000
+#: Signs that the vocabulary splits from letters before them, as one run. An apostrophe may take letters with it, and ">" ends
+#: the special strings.
+SIGNS = "!\"#$%&()*+,-./:;<=?@[\\]^_`{|}~"
 #: Pieces that a block of one length holds on average at most, and the least number of blocks.
 BLOCK_ROWS, LEAST_BLOCKS = 1_000_000, 64
 
@@ -55,16 +58,21 @@ class WordIds(dict):
         if base := self.base(word):
             ids = self[base] + self[word[len(base):]] if len(base) < len(word) else self[base]
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.encoded(word).tobytes()
         self[word] = ids
         return ids
 
+    def encoded(self, text: str) -> np.ndarray:
+        """The ids alone: the fast way leaves out where in the text each token stands, which nothing reads."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     @staticmethod
     def base(word: str) -> str | None:
-        """The same letters without a sign behind them, which is split off anyway, or in lower case, as the
+        """The same letters without the signs behind them, which are split off anyway, or in lower case, as the
         vocabulary is."""
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2].islower():
-            return word[:-1]
+        letters = word.rstrip(SIGNS)
+        if letters and len(letters) < len(word) and (last := letters[-1]).isalpha() and (last.isascii() or last.islower()):
+            return letters
         if word.isascii() and word.isalpha() and not word.islower():
             return word.lower()
         return None
@@ -78,7 +86,7 @@ class WordIds(dict):
             if word.isalpha() and word not in self:
                 fresh.add(word)
         for some in chunks(fresh, 2000):
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = self.encoded(" ".join(some))
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
             if len(cuts) == len(some):  # else some letter is not one in lower case: these are encoded one by one
                 data, ends = ids.tobytes(), (4 * cuts).tolist()

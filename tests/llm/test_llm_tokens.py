@@ -128,3 +128,13 @@ def test_pack_rows(tricky, nothing, pairs):
         assert [o for o, _ in sorted(held)] == [sum(x for _, x in sorted(held)[:n]) for n in range(len(held))]
         assert sum(x for _, x in held) <= 64
     assert packing.pack_documents(nothing, WORDS).count() == 0
+
+
+def test_signs_behind_letters_are_not_learned_with_them():
+    """Words that differ in the signs behind them share what is learned of their letters, with the ids of the library."""
+    words = ["Les&&&", "ESEDEA!!", "paçeux$$$", "querara,&&&", "Σας;", "İ,", "ŉ!", "ab'", "ab's", "ab',", "a≠", "x1..", "ⅷ.", "ⓐ!!", "ª,", "--", "é́)", "ab<|endoftext|>", "<|endoftext|>ab;;", "ab<|endoftext|"]
+    source = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for word in words:
+        wanted = source.tokenizer.encode(word, add_special_tokens=False).ids
+        assert source.ids([word]) == [np.array(wanted, "<u4").tobytes()]
+    assert "les" in source and "esedea" in source and packing.WordIds.base("querara,&&&") == "querara"
